@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import cutoff, pairs, repetition, tokens, truncation
+from turnloom.llm import cutoff, incremental, pairs, repetition, tokens, truncation
 from turnloom.sources.tables import table
 
 
@@ -45,12 +45,16 @@ def p5_shares(spark: SparkSession, d: str) -> DataFrame:
     return repetition.shares(table(spark, d, "dialogues"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return incremental.repeats(table(spark, d, "dialogues"), table(spark, d, "incoming_dialogues"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_rates, p3_found, p5_found, p5_shares, p8_ids)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_rates, p3_found, p5_found, p5_shares, p6_found, p8_ids)}
 
 
 _SCORED = r"""
