@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.llm import cutoff, incremental, leakage, pairs, repetition, tokens, truncation
+from turnloom.llm import cutoff, incremental, leakage, pairs, repetition, spam, tokens, truncation
 from turnloom.sources.tables import table
 
 
@@ -61,8 +61,12 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items")))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spam.found(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_rates, p3_found, p5_found, p5_shares, p6_found, p8_ids, p9_found, p9_items)}
+    return {f.__name__: f for f in (p1_found, p1_cutoffs, p2_found, p2_rates, p3_found, p5_found, p5_shares, p6_found, p8_ids, p9_found, p9_items, p10_found)}
 
 
 _SCORED = r"""
