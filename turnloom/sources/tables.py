@@ -48,3 +48,20 @@ def parallel(df: DataFrame) -> DataFrame:
     """
     slots = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(max(slots, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+
+
+#: Rows of a few numbers each up to which a side is broadcast; beyond, it is shuffled.
+BROADCAST_ROWS = 200_000
+
+
+def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The frame with a broadcast hint if it has been counted to be small, else as it is.
+
+    For narrow frames whose lineage was cut: the count reads what is kept.
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def slots(df: DataFrame) -> int:
+    """Partitions of a shuffle in the session of the frame."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
