@@ -30,6 +30,21 @@ def keep(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def keep_partitioned(df: DataFrame) -> DataFrame:
+    """Like ``keep``, for a frame that was repartitioned by a key: later joins on the key needn't shuffle it.
+
+    A plan under adaptive execution doesn't tell how its result is partitioned,
+    so adaptive execution rests while this one is written.
+    """
+    conf = df.sparkSession.conf
+    before = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return keep(df.select("*"))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", before)
+
+
 def strip(c: Column) -> Column:
     """Trim white space and invisible characters at both ends; null stays null."""
     return F.regexp_replace(c, EDGE, "")
