@@ -56,13 +56,15 @@ def blank(c: Column) -> Column:
 
 
 def parallel(df: DataFrame) -> DataFrame:
-    """Spread a small scan over all task slots before costly work on each row.
+    """Spread a scan of few partitions over all task slots before costly work on each row.
 
-    A file of few row groups gives few scan partitions; the shuffle of the
-    bare input columns is cheap beside what follows.
+    A small file of few row groups gives few scan partitions; a large input
+    has enough of them and stays as it is, without a shuffle.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(max(slots, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+        return df
+    return df.repartition(max(wanted, slots(df)))
 
 
 #: Rows of a few numbers each up to which a side is broadcast; beyond, it is shuffled.
