@@ -82,7 +82,7 @@ def pieces(text: str) -> Iterator[tuple[str, str, int]]:
             yield "link", line, links
 
 
-FEATURES = ("function", "marks", "variety", "top_word", "links", "hashes", "separators", "digits", "line_words", "timed", "capitals", "piece_words", "bigrams", "log_words")
+FEATURES = ("sentences", "function", "marks", "variety", "top_word", "links", "hashes", "separators", "digits", "line_words", "timed", "capitals", "piece_words", "bigrams", "log_words")
 
 
 def measures(text: str | None) -> tuple[float, int, list[float]]:
@@ -106,6 +106,7 @@ def measures(text: str | None) -> tuple[float, int, list[float]]:
     lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()] or [""]
     pairs = Counter(zip(ws, ws[1:]))
     features = [
+        1 - outside / total if total else 1.0,
         sum(w in _FUNCTION for w in ws) / n,
         len(re.findall(r"[.!?](?:\s|$)", text)) / n,
         len(set(ws)) / n**0.5,
