@@ -82,3 +82,15 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def slots(df: DataFrame) -> int:
     """Partitions of a shuffle in the session of the frame."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Let go of files of frames that nothing refers to any more.
+
+    Spark deletes shuffle files and checkpoints once their objects are
+    collected; asking for it between stages keeps the peak of disk low.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
