@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 WORD = r"[\p{L}\p{N}_]+"
 
 
+def once(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` uses it and wherever the plan moves it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def clean(text: Column) -> Column:
     """White space of any kind collapsed to single spaces, none at the ends."""
     return F.trim(F.regexp_replace(text, r"[\s\p{Z}]+", " "))
@@ -37,13 +42,12 @@ def words(text: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two sets of words: 1 if both are empty, 0 if one is."""
-    either = F.size(F.array_union(a, b))
-    return F.when(either == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(either, F.lit(1)))
+    return F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), F.lit(1.0))
 
 
 def distinct_share(items: Column) -> Column:
     """Distinct items by all items, 0 of none."""
-    return F.when(F.size(items) == 0, 0.0).otherwise(F.size(F.array_distinct(items)) / F.greatest(F.size(items), F.lit(1)))
+    return F.coalesce(F.try_divide(F.size(F.array_distinct(items)), F.size(items)), F.lit(0.0))
 
 
 def bigrams(items: Column) -> Column:

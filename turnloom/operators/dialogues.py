@@ -35,11 +35,37 @@ DRIFT_FIRST, DRIFT_PART, DRIFT_MOST = 0.12, 0.22, 0.35
 QUESTION_ALIKE, QUESTION_LEAST = 0.72, 12
 INCOHERENT, INCOHERENT_LEAST = 0.07, 14
 ENTITY_LEAST = 8
+OPEN = ["?", "please", "could you", "can you", "would you", "confirm", "provide", "let me know", "proceed with", "check the", "check availability", "share the", "give me", "tell me", "send me", "book ", "reserve", "availability"]
+THANKS = ["thank you", "thanks", "perfect", "all set", "appreciate", "that's perfect", "that's all i needed"]
+GOODBYE = ["you're welcome", "glad i could", "anything else", "feel free to let me know", "feel free to ask", "if you need", "further assistance", "have a safe trip", "need any more", "any more questions"]
+LOOP, LOOP_WINDOW = 0.45, 4
+CLOSURE = ["thank you", "thanks", "perfect", "great", "that works", "all set", "resolved", "that fixed", "it's working", "appreciate it"]
+COMMITMENT = r"(?i)\b(confirmed|booked|reserved|reservation|reference|pickup|your taxi|table for|i've arranged|all set on our side|ticket|case (?:number|id)|escalat|patch|update available|reset|restart|network adapter|settings)\b"
+# per domain: (pattern the goal must match for the rule to count, or None; pattern the dialogue must match)
+RULES = {
+    "hotel": [
+        (None, r"\b(book|booked|confirm|reserved|reservation|reference|check[- ]?in|hold the room|availability|nights?)\b"),
+        (r"\b(night|tonight|tomorrow|check[- ]?in|check[- ]?out|guests?|star|parking|wifi)\b", r"\b(night|tonight|tomorrow|date|pm|am|check|guest|star|park|wifi|room)\b"),
+    ],
+    "restaurant": [
+        (None, r"\b(reserv|table|booked|confirm|dinner|lunch|party|people|guests|italian|indian|vegetarian|cuisine)\b"),
+        (r"\b(time|dinner|lunch|pm|am|party|people|guest|vegetarian|vegan|italian)\b", r"\b(time|dinner|lunch|pm|am|table|seat|people|party|vegetarian|italian)\b"),
+    ],
+    "taxi": [
+        (None, r"\b(from|pickup|collect|to |destination|airport|station|drop)\b"),
+        (None, r"\b(?:\d{1,2}:\d{2}|\d{1,2}\s*(?:am|pm)|pickup|leave at|depart)\b"),
+        (None, r"\b(confirmed|booked|reservation|reference|driver|assigned|cab is on the way|on the way|your ride is)\b"),
+    ],
+}
+COMPLETE_LEAST, RULE_WEIGHT, BONUS = 0.72, 0.65, 0.35
 CATEGORIES = ["goal_drift", "hallucinated_entities", "repeated_questions", "incoherent_transitions"]
 
 
 def normal(dialogues: DataFrame) -> DataFrame:
-    """``rec_id, version_id, dialogue_id, goal, domain, score, turns``: the common form of a record.
+    """``rec_id, version_id, dialogue_id, goal, domain, score, context, turns``: the common form of a record.
+
+    Beside them ``sets`` (role, length and word set of each turn), ``body`` (all
+    texts, lower case) and ``goal_words``.
 
     ``turns`` is an array of (role, text) without nulls, ``domain`` trimmed,
     lower case and ``unknown`` if blank, ``score`` null where it is NaN.
@@ -47,7 +73,10 @@ def normal(dialogues: DataFrame) -> DataFrame:
     turns = F.transform(F.filter(F.coalesce("turns", F.array()), lambda t: t.isNotNull()), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     name = F.lower(strip(F.col("domain")))
     score = F.col("metadata.quality_score")
-    return dialogues.select("rec_id", "version_id", "dialogue_id", F.coalesce("goal", F.lit("")).alias("goal"), F.when(name.isNull() | (name == ""), "unknown").otherwise(name).alias("domain"), F.when(~F.isnan(score), score).alias("score"), turns.alias("turns"))
+    base = dialogues.select("rec_id", "version_id", "dialogue_id", F.coalesce("goal", F.lit("")).alias("goal"), F.when(name.isNull() | (name == ""), "unknown").otherwise(name).alias("domain"), F.when(~F.isnan(score), score).alias("score"), F.coalesce("context", F.lit("")).alias("context"), turns.alias("turns"))
+    # columns of their own, so that an expression using one several times computes it once; unused ones are pruned
+    sets = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(strip(t["text"])).alias("n"), X.pieces(t["text"]).alias("w")))
+    return base.select("*", sets.alias("sets"), F.lower(F.array_join(F.transform("turns", lambda t: t["text"]), " ")).alias("body"), X.content_words(F.col("goal"), STOP).alias("goal_words"))
 
 
 def texts(role: str | None = None) -> Column:
@@ -58,26 +87,32 @@ def texts(role: str | None = None) -> Column:
 
 def whole() -> Column:
     """All texts of a dialogue as one lower-case text."""
-    return F.lower(F.array_join(texts(), " "))
+    return F.col("body")
 
 
 def neighbours(least: int = 1) -> Column:
     """Word-set similarity of each turn with the next; null where one is shorter than ``least``."""
-    sets = F.transform("turns", lambda t: F.struct(F.length(strip(t["text"])).alias("n"), X.pieces(t["text"]).alias("w")))
-    n = F.greatest(F.size(sets) - 1, F.lit(0))
-    return F.zip_with(F.slice(sets, F.lit(1), n), F.slice(sets, F.lit(2), n), lambda a, b: F.when((a["n"] >= least) & (b["n"] >= least), X.jaccard(a["w"], b["w"])))
+    alike = lambda a, b: F.when((a["n"] >= least) & (b["n"] >= least), X.jaccard(a["w"], b["w"]))
+    rest = lambda s: F.greatest(F.size(s) - 1, F.lit(0))
+    return X.once(F.col("sets"), lambda s: F.zip_with(F.slice(s, F.lit(1), rest(s)), F.slice(s, F.lit(2), rest(s)), alike))
+
+
+def _mean(values: Column) -> Column:
+    """Mean of an array without its nulls, 0 of none; the array is computed once."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n"))
+    add = lambda a, x: F.when(x.isNull(), a).otherwise(F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")))
+    return F.aggregate(values, start, add, lambda a: F.coalesce(F.try_divide(a["s"], a["n"]), F.lit(0.0)))
 
 
 def coherence() -> Column:
     """Mean similarity of neighbouring turns that both have words; 0 without any."""
-    known = F.filter(neighbours(), lambda s: s.isNotNull())
-    return F.when(F.size(known) == 0, 0.0).otherwise(F.aggregate(known, F.lit(0.0), lambda a, s: a + s) / F.greatest(F.size(known), F.lit(1)))
+    return _mean(neighbours())
 
 
 def satisfied() -> Column:
     """True if a user says one of the phrases of satisfaction in the last three turns."""
     recent = F.filter(F.slice("turns", F.greatest(F.size("turns") - 2, F.lit(1)), F.lit(3)), lambda t: t["role"] == "User")
-    return F.exists(recent, lambda t: X.holds_any(F.lower(t["text"]), SATISFIED))
+    return F.exists(F.transform(recent, lambda t: F.lower(t["text"])), lambda s: X.holds_any(s, SATISFIED))
 
 
 def checks(d: DataFrame) -> DataFrame:
@@ -129,14 +164,58 @@ def goal_completion() -> Column:
     return met & (F.size(answered) * 2 >= F.size(asked)) & X.holds_any(all_, COMPLETED)
 
 
+def rule_completion() -> Column:
+    """``score, complete`` by the rule table: part of the domain's rules met, and a bonus for closure with commitment.
+
+    Domains without rules have one: closure or commitment. A dialogue is
+    complete with a score of COMPLETE_LEAST or more and both.
+    """
+    goal = F.lower("goal")
+
+    def judge(blob: Column) -> Column:
+        closed, bound = X.holds_any(blob, CLOSURE), F.regexp_like(blob, F.lit(COMMITMENT))
+        share = F.when(closed | bound, 1.0).otherwise(0.0)
+        for name, rules in RULES.items():
+            counts = [F.lit(1) if when is None else F.regexp_like(goal, F.lit(when)).cast("int") for when, _ in rules]
+            met = [c * F.regexp_like(blob, F.lit(then)).cast("int") for c, (_, then) in zip(counts, rules)]
+            share = F.when(F.col("domain") == name, sum(met[1:], met[0]) / sum(counts[1:], counts[0])).otherwise(share)
+        score = F.round(RULE_WEIGHT * share + BONUS * F.when(closed & bound, 1.0).otherwise(BONUS), 4)
+        return F.struct(score.alias("score"), ((score >= COMPLETE_LEAST) & closed & bound).alias("complete"))
+
+    return X.once(F.concat_ws(" ", "body", goal, F.lower("context")), judge)
+
+
+def open_request() -> Column:
+    """True if the last turn is a user's and asks for something."""
+    last = F.get("turns", F.size("turns") - 1)
+    return F.coalesce((last["role"] == "User") & X.once(F.lower(strip(last["text"])), lambda s: (s != "") & X.holds_any(s, OPEN)), F.lit(False))
+
+
+def loop() -> Column:
+    """True if the dialogue ends in a loop: thanks and goodbyes only, or the last turns say what those before said."""
+    w = LOOP_WINDOW
+
+    def ends_in(last: Column, short: int, least: int) -> Column:
+        of = lambda role: F.transform(F.filter(last, lambda t: t["role"] == role), lambda t: F.lower(strip(t["text"])))
+        tail = (lambda a: a) if least == 1 else (lambda a: F.slice(a, F.greatest(F.size(a) - 1, F.lit(1)), F.lit(2)))
+        return X.once(of("User"), lambda u: (F.size(u) >= least) & F.forall(tail(u), lambda s: X.holds_any(s, THANKS) | (F.length(s) < short))) & X.once(of("SupportBot"), lambda b: (F.size(b) >= least) & F.forall(tail(b), lambda s: X.holds_any(s, GOODBYE)))
+
+    def judge(t: Column) -> Column:
+        n = F.size(t)
+        back = lambda k: F.slice(t, F.greatest(n - k + 1, F.lit(1)), F.lit(k))
+        return ((n >= 4) & ends_in(back(4), 60, 1)) | ((n >= 6) & ends_in(back(6), 50, 2))
+
+    again = X.once(F.col("sets"), lambda s: F.when(F.size(s) >= 2 * w, F.aggregate(F.zip_with(F.slice(s, F.greatest(F.size(s) - w + 1, F.lit(1)), F.lit(w)), F.slice(s, F.greatest(F.size(s) - 2 * w + 1, F.lit(1)), F.lit(w)), lambda a, b: X.jaccard(a["w"], b["w"])), F.lit(0.0), lambda x, y: x + y) / w >= LOOP).otherwise(False))
+    return X.once(F.col("turns"), judge) | again
+
+
 def drift() -> Column:
     """True if the goal's words stand in the first half of the turns but hardly in the second."""
     n = F.size("turns")
     mid = F.greatest(F.lit(2), F.floor(n / 2).cast("int"))
-    goal = X.content_words(F.col("goal"), STOP)
-    part = lambda a: F.size(F.array_intersect(goal, X.content_words(F.array_join(F.transform(a, lambda t: t["text"]), " "), STOP))) / F.greatest(F.size(goal), F.lit(1))
-    first, rest = part(F.slice("turns", F.lit(1), mid)), part(F.slice("turns", mid + 1, F.greatest(n - mid, F.lit(0))))
-    return (n >= 4) & (F.size(goal) >= 3) & (first >= DRIFT_FIRST) & (rest < DRIFT_PART * first) & (rest < DRIFT_MOST)
+    part = lambda a: F.coalesce(F.try_divide(F.size(F.array_intersect("goal_words", X.content_words(F.array_join(F.transform(a, lambda t: t["text"]), " "), STOP))), F.size("goal_words")), F.lit(0.0))
+    halves = F.array(F.struct(part(F.slice("turns", F.lit(1), mid)).alias("first"), part(F.slice("turns", mid + 1, F.greatest(n - mid, F.lit(0)))).alias("rest")))
+    return (n >= 4) & (F.size("goal_words") >= 3) & F.exists(halves, lambda h: (h["first"] >= DRIFT_FIRST) & (h["rest"] < DRIFT_PART * h["first"]) & (h["rest"] < DRIFT_MOST))
 
 
 def entities() -> Column:
@@ -145,7 +224,8 @@ def entities() -> Column:
 
     def fresh(t: Column, i: Column) -> Column:
         before = F.lower(F.concat_ws(" ", "goal", F.array_join(F.transform(F.slice("turns", F.lit(1), i), lambda p: p["text"]), " ")))
-        named = F.filter(F.regexp_extract_all(t["text"], F.lit(pattern), F.lit(0)), lambda e: (F.length(e) >= ENTITY_LEAST) & ~before.contains(F.lower(e)))
+        said = F.filter(F.regexp_extract_all(t["text"], F.lit(pattern), F.lit(0)), lambda e: F.length(e) >= ENTITY_LEAST)
+        named = F.when(F.size(said) > 0, X.once(before, lambda b: F.filter(said, lambda e: ~b.contains(F.lower(e))))).otherwise(said)
         return F.when(t["role"] == "SupportBot", named).otherwise(F.array().cast("array<string>"))
 
     return F.slice(F.array_distinct(F.flatten(F.transform("turns", fresh))), 1, 4)
@@ -153,8 +233,10 @@ def entities() -> Column:
 
 def repeated_question() -> Column:
     """True if two user turns of some length have nearly the same words."""
-    asked = F.transform(F.filter(texts("User"), lambda s: F.length(strip(s)) >= QUESTION_LEAST), X.pieces)
-    return F.exists(F.transform(asked, lambda a, i: F.exists(F.slice(asked, i + 2, F.greatest(F.size(asked) - i - 1, F.lit(0))), lambda b: X.jaccard(a, b) >= QUESTION_ALIKE)), lambda x: x)
+    long = lambda t: (t["role"] == "User") & (t["n"] >= QUESTION_LEAST)
+    again = lambda a, later: F.exists(later, lambda b: F.when(long(b), X.jaccard(a["w"], b["w"]) >= QUESTION_ALIKE).otherwise(False))
+    tail = lambda s, i: F.slice(s, i + 2, F.greatest(F.size(s) - i - 1, F.lit(0)))
+    return X.once(F.col("sets"), lambda s: F.exists(F.transform(s, lambda a, i: F.when(long(a), again(a, tail(s, i))).otherwise(False)), lambda x: x))
 
 
 def incoherent() -> Column:
@@ -196,14 +278,16 @@ def without_runs() -> Column:
 
 def step_reward() -> Column:
     """0.6 of the goal's words met in the last four turns and 0.4 of their coherence; 0 for fewer than two."""
-    last = F.slice("turns", F.greatest(F.size("turns") - 3, F.lit(1)), F.lit(4))
-    n = F.size(last)
-    sets = F.transform(last, lambda t: X.pieces(t["text"]))
-    m = F.greatest(n - 1, F.lit(0))
-    sims = F.zip_with(F.slice(sets, F.lit(1), m), F.slice(sets, F.lit(2), m), X.jaccard)
-    goal = X.pieces(F.col("goal"))
-    met = F.size(F.array_intersect(goal, F.array_distinct(F.flatten(sets)))) / F.greatest(F.size(goal), F.lit(1))
-    return F.when(n < 2, 0.0).otherwise(0.6 * met + 0.4 * F.aggregate(sims, F.lit(0.0), lambda a, s: a + s) / F.greatest(F.size(sims), F.lit(1)))
+    alike = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), X.jaccard(a["w"], b["w"]))
+
+    def reward(s: Column) -> Column:
+        n = F.size(s)
+        last = F.slice(s, F.greatest(n - 3, F.lit(1)), F.lit(4))
+        sims = F.zip_with(F.slice(last, 1, 3), F.slice(last, 2, 3), alike)
+        met = X.once(X.pieces(F.col("goal")), lambda g: F.coalesce(F.try_divide(F.size(F.array_intersect(g, F.flatten(F.transform(last, lambda t: t["w"])))), F.size(g)), F.lit(0.0)))
+        return F.when(n < 2, 0.0).otherwise(0.6 * met + 0.4 * _mean(sims))
+
+    return X.once(F.col("sets"), reward)
 
 
 def transcript() -> Column:

@@ -112,6 +112,42 @@ def v22_task_success(spark, d):
     return _d(spark, d).select("rec_id", D.task_success().alias("success"))
 
 
+def _case_rules(alias: str) -> str:
+    arms = []
+    for name, rules in D.RULES.items():
+        counts = ["1" if when is None else f"regexp_matches(lower(goal), '{when}')::INT" for when, _ in rules]
+        met = [f"{c} * regexp_matches({alias}, '{then}')::INT" for c, (_, then) in zip(counts, rules)]
+        arms.append(f"WHEN domain = '{name}' THEN ({' + '.join(met)}) / CAST({' + '.join(counts)} AS DOUBLE)")
+    return f"CASE {' '.join(arms)} WHEN c OR b THEN 1.0 ELSE 0.0 END"
+
+
+_COMMITMENT = D.COMMITMENT.replace("'", "''")
+
+
+@_query(f""", X AS (SELECT D.rec_id, D.domain, D.goal, concat_ws(' ', coalesce(body, ''), lower(D.goal), lower(coalesce(r.context, ''))) AS blob FROM D JOIN dialogues r USING (rec_id) LEFT JOIN W USING (rec_id)),
+    Y AS (SELECT *, {_any('blob', D.CLOSURE)} AS c, regexp_matches(blob, '{_COMMITMENT}') AS b FROM X), Z AS (SELECT rec_id, c, b, round({D.RULE_WEIGHT} * ({_case_rules('blob')}) + {D.BONUS} * CASE WHEN c AND b THEN 1.0 ELSE {D.BONUS} END, 4)::DOUBLE AS score FROM Y)
+    SELECT rec_id, score, score >= {D.COMPLETE_LEAST} AND c AND b AS complete FROM Z""")
+def v18_rule_completion(spark, d):
+    return _d(spark, d).select("rec_id", D.rule_completion().alias("r")).select("rec_id", "r.score", "r.complete")
+
+
+@_query(f"SELECT rec_id FROM T WHERE i = n AND role = 'User' AND {_strip('text')} <> '' AND {_any(f'lower({_strip(chr(116) + chr(101) + chr(120) + chr(116))})', D.OPEN)}")
+def v24_open_requests(spark, d):
+    return _d(spark, d).where(D.open_request()).select("rec_id")
+
+
+@_query(f""", L AS (SELECT rec_id, i, n, role, lower({_strip('text')}) AS s, row_number() OVER (PARTITION BY rec_id, role ORDER BY i DESC) AS back FROM T),
+    K AS (SELECT rec_id, i, n, role, s, back, CASE WHEN role = 'User' THEN {_any('s', D.THANKS)} OR length(s) < 60 ELSE {_any('s', D.GOODBYE)} END AS f4, CASE WHEN role = 'User' THEN {_any('s', D.THANKS)} OR length(s) < 50 ELSE {_any('s', D.GOODBYE)} END AS f6
+        FROM L WHERE role IN ('User', 'SupportBot')),
+    R4 AS (SELECT rec_id FROM K WHERE n >= 4 AND i > n - 4 GROUP BY 1 HAVING count(*) FILTER (role = 'User') >= 1 AND count(*) FILTER (role = 'SupportBot') >= 1 AND bool_and(f4)),
+    R6 AS (SELECT rec_id FROM K WHERE n >= 6 AND i > n - 6 GROUP BY 1 HAVING count(*) FILTER (role = 'User') >= 2 AND count(*) FILTER (role = 'SupportBot') >= 2 AND bool_and(f6) FILTER (back <= 2)),
+    B AS (SELECT rec_id, i, n, {_pieces('text')} AS w FROM T WHERE n >= 8 AND i > n - 8),
+    RS AS (SELECT x.rec_id FROM B x JOIN B y ON x.rec_id = y.rec_id AND y.i = x.i - 4 WHERE x.i > x.n - 4 GROUP BY 1 HAVING sum({_jaccard('x.w', 'y.w')}) / 4 >= {D.LOOP})
+    SELECT rec_id FROM R4 UNION SELECT rec_id FROM R6 UNION SELECT rec_id FROM RS""")
+def v23_repetition_loops(spark, d):
+    return _d(spark, d).where(D.loop()).select("rec_id")
+
+
 _stop = "[" + ", ".join(f"'{w}'" for w in D.STOP) + "]"
 _content = lambda c: f"list_filter(list_distinct(regexp_extract_all(lower(coalesce({c}, '')), '[a-z0-9'']+')), lambda w: length(w) > 1 AND NOT list_contains({_stop}, w))"
 
@@ -189,7 +225,7 @@ def a8_length_metrics(spark, d):
     SELECT domain, stored, incoming, stored_turns, incoming_turns, round(CASE WHEN incoming_turns = 0 THEN 0 ELSE stored_turns / incoming_turns END, 6) AS turn_ratio
     FROM (SELECT domain, count(*) AS stored, round(avg(len(turns)), 6) AS stored_turns FROM D GROUP BY 1) JOIN R USING (domain)""")
 def a10_domain_analysis(spark, d):
-    fresh = D.normal(table(spark, d, "incoming_dialogues").select(F.col("incoming_id").alias("rec_id"), F.lit("").alias("version_id"), "dialogue_id", "goal", "domain", "turns", F.struct(F.lit(None).cast("double").alias("quality_score")).alias("metadata")))
+    fresh = D.normal(table(spark, d, "incoming_dialogues").select(F.col("incoming_id").alias("rec_id"), F.lit("").alias("version_id"), "dialogue_id", "goal", "domain", F.lit("").alias("context"), "turns", F.struct(F.lit(None).cast("double").alias("quality_score")).alias("metadata")))
     side = lambda rows, name: rows.groupBy("domain").agg(F.count("*").alias(name), _r(F.avg(F.size("turns")), f"{name}_turns"))
     return side(_d(spark, d), "stored").join(side(fresh, "incoming"), "domain").withColumn("turn_ratio", F.round(S.ratio(F.col("stored_turns"), F.col("incoming_turns")), 6))
 
