@@ -141,3 +141,27 @@ def test_bounded_and_keep(spark):
     df = tables.keep(spark.range(10))
     assert "BroadcastHashJoin" in spark.range(100).join(tables.bounded(df, 10), "id")._jdf.queryExecution().executedPlan().toString()
     assert df.count() == 10
+
+
+def test_model_output(spark):
+    from turnloom.functions import model_output as M
+
+    texts = ['ok ```json\n{"subgoals": ["a", " "], "missing_information": [], "goal_progress": " near ", "next_action": 3, "score": 9, "issues": ["x"], "user_facts": ["f"], "contradictions": [{"text": "t", "severity": "HIGH"}, {"text": "u", "severity": "?"}]}\n```', "none", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    r = df.select(M.plan(F.col("t")).alias("p"), M.plan_issues(F.col("t")).alias("i"), M.verdict(F.col("t")).alias("v"), M.facts(F.col("t")).alias("f"), M.contradictions(F.col("t")).alias("c"), M.worst(M.contradictions(F.col("t"))).alias("w")).collect()
+    assert r[0]["p"]["subgoals"] == ["a"] and r[0]["p"]["goal_progress"] == "near"
+    assert "missing_dialogue_state" in r[0]["i"] and "not_a_text_next_action" in r[0]["i"] and r[1]["i"] == ["no_object"]
+    assert tuple(r[0]["v"]) == (5.0, ["x"], True) and r[1]["v"] is None and r[0]["f"]["user_facts"] == ["f"] and r[2]["f"]["user_facts"] == []
+    assert [tuple(c) for c in r[0]["c"]] == [("t", "high"), ("u", "medium")] and [x["w"] for x in r] == ["high", "none", "none"]
+    one = spark.range(1).select(M.spoken(F.lit('User: "hi"')), M.plan_and_reply(F.lit("PLAN: go\nREPLY: SupportBot: yes")), M.turns_of(F.lit("User: a\nnoise\nSupportBot: b")), M.turns_of(F.lit("User: a")), M.summary(F.lit("x"), F.lit("old"))).first()
+    assert one[0] == "hi" and tuple(one[1]) == ("go", "yes") and len(one[2]) == 2 and one[3] is None and one[4] == "old"
+
+
+def test_rules_requests_and_loops(dialogues):
+    d = D.normal(dialogues(
+        record(1, ["I need a room", "Your hotel room is booked, reference X", "thanks, great"], goal="book a hotel room"),
+        record(2, ["hello", "hi", "could you book it?"]), record(3, ["thanks", "you're welcome", "perfect", "anything else"]), record(4, None), record(5, ["", ""]),
+    ))
+    got = {r["rec_id"]: r for r in d.select("rec_id", D.rule_completion().alias("r"), D.open_request().alias("o"), D.loop().alias("l")).collect()}
+    assert got[1]["r"]["complete"] and got[1]["r"]["score"] == 1.0 and not got[4]["r"]["complete"]
+    assert got[2]["o"] and not got[1]["o"] and got[3]["l"] and not got[1]["l"] and not got[4]["l"]
