@@ -166,8 +166,8 @@ def scored(documents: DataFrame) -> DataFrame:
         own = rows.withColumn("own", F.col("outside"))
     own = keep(own.select("doc_id", "host", "outside", "n_words", "own"))
     rates = own.where(F.col("host").isNotNull()).groupBy("host").agg(F.sum("own").alias("s"), F.count("*").alias("k"))
-    overall = own.agg(F.avg("own").alias("mean"))
-    smooth = rates.join(F.broadcast(overall), how="cross").select("host", ((F.col("s") + HOST_PRIOR * F.col("mean")) / (F.col("k") + HOST_PRIOR)).alias("rate"))
+    mean = own.agg(F.avg("own")).first()[0] or 0.0
+    smooth = rates.select("host", ((F.col("s") + HOST_PRIOR * mean) / (F.col("k") + HOST_PRIOR)).alias("rate"))
     return own.join(smooth, "host", "left").select("doc_id", "host", "outside", "n_words", "own", (F.col("own") * OWN + F.coalesce("rate", "own") * (1 - OWN)).alias("score"))
 
 
