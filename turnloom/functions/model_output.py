@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from turnloom.functions.text import json_object
+from turnloom.sources.tables import strip
 
 # The fields of a plan, limits of lists, severities in order.
 PLAN_LISTS = ["subgoals", "missing_information"]
@@ -21,13 +22,13 @@ def _field(obj: Column, name: str, kind: str) -> Column:
 def _texts(obj: Column, name: str, most: int) -> Column:
     """A list of non-blank texts; anything else is an empty list."""
     items = F.coalesce(_field(obj, name, "array<string>"), F.array().cast("array<string>"))
-    return F.slice(F.filter(F.transform(items, lambda s: F.trim(s)), lambda s: F.coalesce(s, F.lit("")) != ""), 1, most)
+    return F.slice(F.filter(F.transform(items, lambda s: strip(s)), lambda s: F.coalesce(s, F.lit("")) != ""), 1, most)
 
 
 def plan(text: Column) -> Column:
     """A plan with all its fields: lists without blanks, texts trimmed, absent ones empty; null without an object."""
     obj = json_object(text)
-    parts = [_texts(obj, n, 100).alias(n) for n in PLAN_LISTS] + [F.trim(F.coalesce(_field(obj, n, "string"), F.lit(""))).alias(n) for n in PLAN_TEXTS]
+    parts = [_texts(obj, n, 100).alias(n) for n in PLAN_LISTS] + [strip(F.coalesce(_field(obj, n, "string"), F.lit(""))).alias(n) for n in PLAN_TEXTS]
     return F.when(obj.isNotNull(), F.struct(*parts))
 
 
@@ -64,7 +65,7 @@ def milestones(text: Column) -> Column:
 
 def summary(text: Column, prior: Column) -> Column:
     """The summary, at most 4,000 characters, or the one before."""
-    found = F.trim(_field(json_object(text), "summary", "string"))
+    found = strip(_field(json_object(text), "summary", "string"))
     return F.when(F.coalesce(found, F.lit("")) != "", F.left(found, F.lit(SUMMARY))).otherwise(prior)
 
 
@@ -72,7 +73,7 @@ def contradictions(text: Column) -> Column:
     """At most eight contradictions as (text, severity); unknown severities count as ``medium``."""
     items = F.coalesce(F.try_variant_get(json_object(text), "$.contradictions", "array<struct<text:string,severity:string>>"), F.array().cast("array<struct<text:string,severity:string>>"))
     known = lambda s: F.when(F.lower(s).isin(SEVERITIES), F.lower(s)).otherwise("medium")
-    return F.slice(F.transform(F.filter(items, lambda c: F.coalesce(F.trim(c["text"]), F.lit("")) != ""), lambda c: F.struct(F.trim(c["text"]).alias("text"), known(c["severity"]).alias("severity"))), 1, CONTRADICTIONS)
+    return F.slice(F.transform(F.filter(items, lambda c: F.coalesce(strip(c["text"]), F.lit("")) != ""), lambda c: F.struct(strip(c["text"]).alias("text"), known(c["severity"]).alias("severity"))), 1, CONTRADICTIONS)
 
 
 def worst(items: Column) -> Column:
@@ -83,18 +84,18 @@ def worst(items: Column) -> Column:
 
 def spoken(text: Column) -> Column:
     """A reply without speaker labels and surrounding quotes."""
-    bare = F.regexp_replace(F.trim(text), r"(?i)^(?:\s*(?:user|supportbot|support bot|support|assistant|bot|agent|customer|system)\s*:\s*)+", "")
+    bare = F.regexp_replace(strip(text), r"(?i)^(?:\s*(?:user|supportbot|support bot|support|assistant|bot|agent|customer|system)\s*:\s*)+", "")
     return F.regexp_replace(bare, r"^[\"'“”]+|[\"'“”]+$", "")
 
 
 def plan_and_reply(text: Column) -> Column:
     """``plan`` and ``reply`` of a text in two labelled parts; without labels all is reply."""
     said = F.regexp_extract(text, r"(?is)REPLY\s*:\s*(.*)$", 1)
-    return F.struct(F.nullif(F.trim(F.regexp_extract(text, r"(?is)PLAN\s*:\s*(.*?)(?=REPLY\s*:|$)", 1)), F.lit("")).alias("plan"), spoken(F.when(F.trim(said) != "", said).otherwise(text)).alias("reply"))
+    return F.struct(F.nullif(strip(F.regexp_extract(text, r"(?is)PLAN\s*:\s*(.*?)(?=REPLY\s*:|$)", 1)), F.lit("")).alias("plan"), spoken(F.when(strip(said) != "", said).otherwise(text)).alias("reply"))
 
 
 def turns_of(text: Column) -> Column:
     """Turns out of lines ``User: ...`` and ``SupportBot: ...``; null for fewer than two."""
     lines = F.filter(F.split(text, r"\n"), lambda s: F.regexp_like(s, F.lit(r"(?i)^\s*(user|supportbot)\s*:\s*\S")))
-    turns = F.transform(lines, lambda s: F.struct(F.when(F.lower(F.trim(s)).startswith("user"), "User").otherwise("SupportBot").alias("role"), F.trim(F.regexp_replace(s, r"^[^:]*:", "")).alias("text")))
+    turns = F.transform(lines, lambda s: F.struct(F.when(F.lower(strip(s)).startswith("user"), "User").otherwise("SupportBot").alias("role"), strip(F.regexp_replace(s, r"^[^:]*:", "")).alias("text")))
     return F.when(F.size(turns) >= 2, turns)

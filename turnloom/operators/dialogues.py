@@ -34,7 +34,7 @@ STOP = "a an the to of in on for and or is it at be as by not we you i are was w
 DRIFT_FIRST, DRIFT_PART, DRIFT_MOST = 0.12, 0.22, 0.35
 QUESTION_ALIKE, QUESTION_LEAST = 0.72, 12
 INCOHERENT, INCOHERENT_LEAST = 0.07, 14
-ENTITY_LEAST = 8
+ENTITY, ENTITY_LEAST = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,}-\d{2,}|[A-Z]{3,}\d{3,}", 8
 OPEN = ["?", "please", "could you", "can you", "would you", "confirm", "provide", "let me know", "proceed with", "check the", "check availability", "share the", "give me", "tell me", "send me", "book ", "reserve", "availability"]
 THANKS = ["thank you", "thanks", "perfect", "all set", "appreciate", "that's perfect", "that's all i needed"]
 GOODBYE = ["you're welcome", "glad i could", "anything else", "feel free to let me know", "feel free to ask", "if you need", "further assistance", "have a safe trip", "need any more", "any more questions"]
@@ -220,11 +220,9 @@ def drift() -> Column:
 
 def entities() -> Column:
     """Names and codes in support turns that neither the goal nor any earlier turn holds; the first four."""
-    pattern = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,}-\d{2,}|[A-Z]{3,}\d{3,}"
-
     def fresh(t: Column, i: Column) -> Column:
         before = F.lower(F.concat_ws(" ", "goal", F.array_join(F.transform(F.slice("turns", F.lit(1), i), lambda p: p["text"]), " ")))
-        said = F.filter(F.regexp_extract_all(t["text"], F.lit(pattern), F.lit(0)), lambda e: F.length(e) >= ENTITY_LEAST)
+        said = F.filter(F.regexp_extract_all(t["text"], F.lit(ENTITY), F.lit(0)), lambda e: F.length(e) >= ENTITY_LEAST)
         named = F.when(F.size(said) > 0, X.once(before, lambda b: F.filter(said, lambda e: ~b.contains(F.lower(e))))).otherwise(said)
         return F.when(t["role"] == "SupportBot", named).otherwise(F.array().cast("array<string>"))
 

@@ -160,9 +160,12 @@ def v25_goal_drift(spark, d):
     return _d(spark, d).where(D.drift()).select("rec_id")
 
 
-@_query()
+@_query(f""", B AS (SELECT rec_id, i, role, text, lower(concat_ws(' ', goal, coalesce(string_agg(text, ' ') OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''))) AS earlier FROM T),
+    E AS (SELECT rec_id, i, earlier, unnest(regexp_extract_all(text, '{D.ENTITY}')) AS e, unnest(range(len(regexp_extract_all(text, '{D.ENTITY}')))) AS k FROM B WHERE role = 'SupportBot'),
+    F AS (SELECT rec_id, e, min(i * 100000 + k) AS first FROM E WHERE length(e) >= {D.ENTITY_LEAST} AND NOT contains(earlier, lower(e)) GROUP BY 1, 2)
+    SELECT rec_id, string_agg(e, '|' ORDER BY first) AS entities FROM (SELECT * FROM F QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY first) <= 4) GROUP BY 1""")
 def v26_unknown_entities(spark, d):
-    return _d(spark, d).select("rec_id", D.entities().alias("entities")).where(F.size("entities") > 0)
+    return _d(spark, d).select("rec_id", D.entities().alias("e")).where(F.size("e") > 0).select("rec_id", F.array_join("e", "|").alias("entities"))
 
 
 @_query(f""", U AS (SELECT rec_id, i, {_pieces('text')} AS w FROM T WHERE role = 'User' AND length({_strip('text')}) >= {D.QUESTION_LEAST})
@@ -184,7 +187,8 @@ def a1_goal_relevance(spark, d):
     return _by_domain(rows, F.count("*").alias("total"), F.count_if("s").alias("satisfied"), _r(F.count_if("s") / F.count("*"), "share"))
 
 
-@_query()
+@_query(f"""SELECT coalesce(D.domain, '{_ALL}') AS domain, count(*) AS total, round(100.0 * count(*) FILTER (g.completed) / count(*), 6)::DOUBLE AS completion_rate, round(100.0 * count(*) FILTER (t.success) / count(*), 6)::DOUBLE AS success_rate
+    FROM D JOIN ({_SQL['v19_goal_completion']}) g USING (rec_id) JOIN ({_SQL['v22_task_success']}) t USING (rec_id) GROUP BY ROLLUP (D.domain)""")
 def a2_completion_and_success_rates(spark, d):
     rows = _d(spark, d).select("domain", D.goal_completion().alias("g"), D.task_success().alias("t"))
     return _by_domain(rows, F.count("*").alias("total"), _r(100 * F.count_if("g") / F.count("*"), "completion_rate"), _r(100 * F.count_if("t") / F.count("*"), "success_rate"))
@@ -288,7 +292,10 @@ def a17_wilson_by_domain(spark, d):
     return q.select("domain", "n", "k", _r(low, "low"), _r(high, "high"))
 
 
-@_query()
+@_query(f""", C AS (SELECT 'goal_drift' AS category, rec_id FROM ({_SQL['v25_goal_drift']}) UNION ALL SELECT 'hallucinated_entities', rec_id FROM ({_SQL['v26_unknown_entities']})
+    UNION ALL SELECT 'repeated_questions', rec_id FROM ({_SQL['v27_repeated_questions']}) UNION ALL SELECT 'incoherent_transitions', rec_id FROM ({_SQL['v29_incoherent_transitions']}))
+    SELECT named.category, count(C.rec_id) AS n, round(count(C.rec_id) / CAST((SELECT count(*) FROM D) AS DOUBLE), 6) AS share, round(count(C.rec_id) / CAST((SELECT count(DISTINCT rec_id) FROM C) AS DOUBLE), 6) AS share_of_failed
+    FROM (SELECT unnest({D.CATEGORIES!r}) AS category) named LEFT JOIN C ON C.category = named.category GROUP BY 1""")
 def a21_failure_report(spark, d):
     return reports.failure_counts(D.failures(_d(spark, d)))
 
