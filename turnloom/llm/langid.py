@@ -7,7 +7,7 @@ import unicodedata
 
 #: Frequent function words of each language; fixed values.
 FUNCTION_WORDS = {
-    "en": "a the and of to is in you that it for are with as at be this have from or by not but what can could would will your we us they their there here if me my do does did which how when where i he she was were has had an on so than then after before around all any some please thanks yes no might shall should am its our one about out up more most need want like great perfect good sounds right fine sure hello hi lovely wonderful indeed when because since",
+    "en": "a the and of to is in you that it for are with as at be this have from or by not but what can could would will your we us they their there here if me my do does did which how when where i he she was were has had an on so than then after before around all any some please thanks yes no might shall should am its our one about out up more most need want like great perfect good sounds right fine sure hello hi lovely wonderful indeed when because since every just outside never always while under behind although once",
     "de": "der die das und ist in zu den dem des ein eine einen einem einer nicht mit auf für von sich auch es an werden aus er hat dass sie nach wird bei um am sind noch wie über zum zur haben nur oder aber vor bis mehr durch man sein wurde wir ich ihr ihre ihren ihnen uns kann können könnten möchten soll gibt dann gern gerne ja nein bitte danke vielen guten tag leider etwas uhr wenn habe mich meine mein wann wo dort hier",
     "fr": "le la les des et est une un du de que qui dans pour pas sur au aux avec ce cette ces il elle nous vous ils je ne se son sa ses mais ou où par plus même sont être avoir votre vos mon ma mes leur leurs chez donc alors bien merci bonjour oui non très encore aussi y en à été avez pourrait voulez reste celle depuis jusqu",
     "it": "il lo gli le un una di da in su per con non è che sono si la dal della del al alla ci c'è ma anche come più molto quando dove questo questa vostro vostra suo sua vicino fiume purtroppo altra circa ho ha hai abbiamo buongiorno grazie prenotazione numero inizia rimasto posto dalle vogliono soluzione completo vuole",

@@ -28,6 +28,8 @@ HOST_PRIOR = 20
 _WORDY = set("me near more all up out now top last best you here not more about free todo más plus sin sur pas de la du no our go home page en".split())
 _FUNCTION = {w for words in FUNCTION_WORDS.values() for w in words.split()} - _WORDY - {"great", "perfect", "good", "hotel", "e", "o", "i"}
 _URL = re.compile(r"(?:https?:)?//\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|info|biz)(?:/\S*)?", re.I)
+_ANCHOR = re.compile(r"<a\b[^<>]*>", re.I)
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
 _HASH = re.compile(r"#\w+")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _PIECE = re.compile(r"(?<=[.!?。！？])[\"'”’)]*\s+")
@@ -51,8 +53,10 @@ def pieces(text: str) -> Iterator[tuple[str, str, int]]:
         line = line.strip()
         if not line:
             continue
-        links = len(_URL.findall(line))
-        plain = _URL.sub(" ", line) if links else line
+        anchors = len(_ANCHOR.findall(line)) if "<" in line else 0
+        plain = _MARKUP.sub(" ", line) if "<" in line else line
+        links = anchors + len(_URL.findall(plain))
+        plain = _URL.sub(" ", plain) if links else plain
         tags = len(_HASH.findall(plain))
         if tags:
             yield "tag", line, tags
@@ -66,9 +70,9 @@ def pieces(text: str) -> Iterator[tuple[str, str, int]]:
             function = sum(w in _FUNCTION for w in map(str.lower, ws))
             if tagged and k == 0:
                 yield "tag", piece, n
-            elif _TIMED.search(piece) or (_PRICED.search(piece) and n <= 14 and not _URL.search(line)):
+            elif _TIMED.search(piece) or (_PRICED.search(piece) and n <= 14 and not links):
                 yield "data", piece, n
-            elif _SPEAKER.match(piece) or (_END.search(piece) and n >= 3 and function >= max(1, 0.05 * n)) or (n >= 6 and function >= 0.25 * n):
+            elif _SPEAKER.match(piece) or (_END.search(piece) and n >= 3 and function >= max(1, 0.05 * n)) or (n >= 6 and function >= 0.25 * n) or (n >= 10 and function >= 0.1 * n and len({w.lower() for w in ws}) >= 0.7 * n):
                 yield "prose", piece, n
             elif _TERM.match(piece) and function >= 0.15 * n and not links:
                 yield "data", piece, n
