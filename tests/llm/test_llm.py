@@ -136,6 +136,24 @@ def test_hot_fingerprints_lose_nothing(spark, dialogues, monkeypatch):
     assert rows_of(incremental.repeats(dialogues(*held), batch)) == [(1, "h11")]
 
 
+def test_sequential_acceptance(spark):
+    import random
+
+    random.seed(2)
+    for _ in range(3):
+        edges = sorted({tuple(sorted(random.sample(range(12), 2))) for _ in range(14)})
+        links = spark.createDataFrame([(b, a, 0.9) for a, b in edges], "id bigint, other bigint, ratio double")
+        accepted, repeats = set(), {}
+        for k in range(12):
+            smaller = [a for a, b in edges if b == k and a in accepted]
+            if smaller:
+                repeats[k] = smaller
+            else:
+                accepted.add(k)
+        got = {r["id"]: r["other"] for r in incremental._sequential(links).collect()}
+        assert got.keys() == repeats.keys() and all(got[k] in repeats[k] for k in got)
+
+
 def test_lcs():
     assert incremental.lcs("abcde", "xbxde") == 3 and incremental.lcs("", "a") == 0
 
