@@ -165,3 +165,10 @@ def test_rules_requests_and_loops(dialogues):
     got = {r["rec_id"]: r for r in d.select("rec_id", D.rule_completion().alias("r"), D.open_request().alias("o"), D.loop().alias("l")).collect()}
     assert got[1]["r"]["complete"] and got[1]["r"]["score"] == 1.0 and not got[4]["r"]["complete"]
     assert got[2]["o"] and not got[1]["o"] and got[3]["l"] and not got[1]["l"] and not got[4]["l"]
+
+
+def test_small_statistics(spark):
+    assert stats.shares_of(7, ["a", "b", "c"]) == {"a": 3, "b": 2, "c": 2} and stats.shares_of(3, []) == {}
+    assert [stats.histogram_bins(n) for n in (0, 30, 1000)] == [8, 10, 24] and stats.z_of(0.5) == 1.96
+    low, high = spark.range(1).select(*stats.normal_interval(F.lit(0.5), F.lit(100))).first()
+    assert (low, high) == (pytest.approx(0.402), pytest.approx(0.598))

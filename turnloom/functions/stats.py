@@ -38,3 +38,20 @@ def wilson(successes: Column, n: Column, confidence: float = 0.95) -> tuple[Colu
 def standard_error(x: Column) -> Column:
     """Sample deviation by the root of n, 0 for fewer than two values."""
     return F.coalesce(F.try_divide(F.stddev_samp(x), F.sqrt(F.count(x))), F.lit(0.0))
+
+
+def shares_of(n: int, parts: list[str]) -> dict[str, int]:
+    """n split evenly over the parts; the first ones take what is left over."""
+    base, over = divmod(max(0, n), max(1, len(parts)))
+    return {p: base + (k < over) for k, p in enumerate(parts)}
+
+
+def histogram_bins(n: int) -> int:
+    """Bins for n values: a third of them, from 8 to 24."""
+    return min(24, max(8, n // 3))
+
+
+def normal_interval(p: Column, n: Column) -> tuple[Column, Column]:
+    """Normal interval of a proportion at 95 %, where no Wilson bounds are given."""
+    half = 1.96 * F.sqrt(p * (1 - p) / n)
+    return p - half, p + half

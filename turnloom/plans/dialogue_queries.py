@@ -494,6 +494,37 @@ def st_windowed_events(spark, d):
     return windowed_events(table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@_query(f""", {_BODYWORDS}, C AS (SELECT rec_id, avg({_jaccard('a', 'b')}) AS c FROM P WHERE la > 0 AND lb > 0 GROUP BY 1),
+    A AS (SELECT coalesce(r.metadata.model_version, 'unknown') AS arm, G2.d1, coalesce(C.c, 0) AS c FROM dialogues r LEFT JOIN G2 USING (rec_id) LEFT JOIN C USING (rec_id))
+    SELECT arm, count(*) AS n, round(avg(d1), 6) AS distinct_1, round(avg(c), 6) AS coherence FROM A GROUP BY 1""")
+def a24_arm_metrics(spark, d):
+    raw = table(spark, d, "dialogues")
+    arm = raw.select("rec_id", F.coalesce("metadata.model_version", F.lit("unknown")).alias("arm"))
+    d1 = F.when(F.size(X.words(D.whole())) > 0, X.once(X.words(D.whole()), X.distinct_share))
+    rows = D.normal(raw).select("rec_id", d1.alias("d1"), D.coherence().alias("c")).join(arm, "rec_id")
+    return rows.groupBy("arm").agg(F.count("*").alias("n"), _r(F.avg("d1"), "distinct_1"), _r(F.avg("c"), "coherence"))
+
+
+@_query(f"""SELECT domain, goal FROM (SELECT {_DOMAIN} AS domain, goal FROM seed_goals WHERE goal IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY domain ORDER BY md5(goal), goal) = 1""", ctes=False)
+def t8_sampled_goal(spark, d):
+    goals = table(spark, d, "seed_goals").where("goal IS NOT NULL").select(F.lower(D.strip(F.col("domain"))).alias("domain"), "goal")
+    return goals.groupBy("domain").agg(F.min_by("goal", F.struct(F.md5("goal"), F.col("goal"))).alias("goal"))
+
+
+@_query("SELECT version_id, count(*) AS n, max(ingested_at) AS newest FROM dialogues GROUP BY 1 ORDER BY version_id DESC LIMIT 10", ctes=False)
+def t5_newest_versions(spark, d):
+    v = table(spark, d, "dialogues").groupBy("version_id").agg(F.count("*").alias("n"), F.max("ingested_at").alias("newest"))
+    return v.orderBy(F.desc("version_id")).limit(10)
+
+
+@_query("""SELECT rec_id, CAST(list_sum(map_values(pipeline_turns[len(pipeline_turns)].timings_ms)) AS DOUBLE) IS NOT NULL AS timed, CAST(len(pipeline_turns) AS INTEGER) AS n_pairs,
+    len(list_filter(pipeline_turns, lambda p: p.reflection_score IS NOT NULL)) AS n_reflected FROM dialogues WHERE len(pipeline_turns) > 0""", ctes=False)
+def pr23_reflection_slices(spark, d):
+    last = F.get("pipeline_turns", F.size("pipeline_turns") - 1)["timings_ms"]
+    rows = table(spark, d, "dialogues").where(F.size("pipeline_turns") > 0)
+    return rows.select("rec_id", F.coalesce(F.exists(F.map_values(last), lambda v: v.isNotNull()), F.lit(False)).alias("timed"), F.size("pipeline_turns").alias("n_pairs"), F.size(F.filter("pipeline_turns", lambda p: p["reflection_score"].isNotNull())).cast("long").alias("n_reflected"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
