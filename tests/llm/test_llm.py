@@ -192,3 +192,16 @@ def test_spam(spark):
     found = {r["doc_id"] for r in spam.found(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()}
     assert found == {100 + k for k in range(12)} | {202, 203}
     assert spam.found(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
+
+
+def test_very_long_texts(spark, dialogues):
+    passage = " ".join(f"word{k} tale{k % 7}" for k in range(20))
+    filler = " ".join(f"f{k % 997}" for k in range(30_000))
+    items = spark.createDataFrame([(1, passage)], "item_id bigint, passage string").withColumn("answer", F.lit(None).cast("string"))
+    docs = spark.createDataFrame([(1, filler + " " + passage + " " + filler), (2, filler)], "doc_id bigint, text string")
+    assert [r["doc_id"] for r in leakage.leaks(docs, items).collect()] == [1]
+    odd = ["a" + "." * 5000 + "b and so on to", "a" + " " * 50_000 + "b and then to", "x " * 50_000 + "is the", ") " * 20_000 + "of the"]
+    d = dialogues(record(1, odd, pairs=[(filler, filler + " right"), (filler, "x " * 20_000 + "done.")]))
+    assert truncation.cut_values(d).count() == 4
+    assert [r["defect"] for r in pairs.defects(d).orderBy("pos").collect()] == ["copy"]
+    assert repetition.shares(d).count() == 1

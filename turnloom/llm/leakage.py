@@ -29,6 +29,8 @@ RANK, POWER = 128, 2
 NEAR = 0.35
 #: Least part of a window's weight in words that passages have: verified windows have about three quarters.
 KNOWN = 0.5
+#: Words of a document taken at once; all parts are searched.
+PART = 10_000
 #: Passages in one pass over the documents; more of them are taken in blocks.
 BLOCK = 2000
 
@@ -209,30 +211,40 @@ def _block(documents: DataFrame, items: DataFrame) -> DataFrame:
         # each word's place in the latent space; the last row is for words no passage has
         place = np.vstack([weight[:, None] * loadings, np.zeros((1, loadings.shape[1]), np.float32)])
         mass = np.append(weight, np.float32(top))
+
+        def near(ws: list[str]) -> list[int]:
+            """Items a window of these words comes near to."""
+            at = np.array([column.get(w, -1) for w in ws])
+            starts = np.array(windows(len(ws)))
+            ends = np.minimum(starts + RUN, len(ws))
+            ours = np.concatenate([[0.0], np.cumsum(np.where(at >= 0, mass[at], 0.0))])
+            alls = np.concatenate([[0.0], np.cumsum(mass[at])])
+            sure = (ours[ends] - ours[starts]) >= KNOWN * (alls[ends] - alls[starts])
+            if not sure.any():
+                return []
+            squares = np.concatenate([[0.0], np.cumsum(mass[at].astype(float) ** 2)])
+            sums = np.concatenate([np.zeros((1, place.shape[1])), np.cumsum(place[at], axis=0, dtype=float)])
+            starts, ends = starts[sure], ends[sure]
+            z = (sums[ends] - sums[starts]).astype(np.float32) / np.sqrt(squares[ends] - squares[starts])[:, None].astype(np.float32)
+            return np.unique(owner_a[np.flatnonzero((z @ latent_a.T).max(axis=0) >= NEAR)]).tolist()
+
         for b in batches:
             out = []
             for doc, text in zip(b["doc_id"], b["text"]):
                 ws = words(text)
                 if len(ws) < RUN - 2:
                     continue
-                at = np.array([column.get(w, -1) for w in ws])
-                starts = np.array(windows(len(ws)))
-                ends = np.minimum(starts + RUN, len(ws))
-                ours = np.concatenate([[0.0], np.cumsum(np.where(at >= 0, mass[at], 0.0))])
-                alls = np.concatenate([[0.0], np.cumsum(mass[at])])
-                sure = (ours[ends] - ours[starts]) >= KNOWN * (alls[ends] - alls[starts])
-                if not sure.any():
-                    continue
-                squares = np.concatenate([[0.0], np.cumsum(mass[at].astype(float) ** 2)])
-                sums = np.concatenate([np.zeros((1, place.shape[1])), np.cumsum(place[at], axis=0, dtype=float)])
-                starts, ends = starts[sure], ends[sure]
-                z = (sums[ends] - sums[starts]).astype(np.float32) / np.sqrt(squares[ends] - squares[starts])[:, None].astype(np.float32)
-                hit = np.unique(owner_a[np.flatnonzero((z @ latent_a.T).max(axis=0) >= NEAR)])
-                for k in hit.tolist():
-                    item, passage, answer = rows[k]
-                    if contains(passage, ws):
-                        joined = " " + " ".join(ws) + " "
-                        out.append((doc, item, None if not answer else " " + " ".join(answer) + " " in joined))
+                held: set[int] = set()
+                # long texts part by part; the parts overlap by more than any run that is looked for
+                for s in range(0, len(ws), PART):
+                    part = ws[s : s + PART + 4 * RUN]
+                    if len(part) >= RUN - 2:
+                        held.update(k for k in near(part) if k not in held and contains(rows[k][1], part))
+                if held:
+                    joined = " " + " ".join(ws) + " "
+                for k in sorted(held):
+                    item, _, answer = rows[k]
+                    out.append((doc, item, None if not answer else " " + " ".join(answer) + " " in joined))
             yield pd.DataFrame(out, columns=["doc_id", "item_id", "answered"]).astype({"answered": "object"})
 
     return parallel(docs).mapInPandas(run, "doc_id bigint, item_id bigint, answered boolean")
