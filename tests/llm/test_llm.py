@@ -136,6 +136,22 @@ def test_hot_fingerprints_lose_nothing(spark, dialogues, monkeypatch):
     assert rows_of(incremental.repeats(dialogues(*held), batch)) == [(1, "h11")]
 
 
+def test_hot_fingerprints_inside_a_batch(spark, dialogues, monkeypatch):
+    import random
+
+    random.seed(4)
+    base, rows = [f"w{k}" for k in range(90)], []
+    for _ in range(50):
+        at = random.sample(range(90), 15 if rows else 0)
+        rows.append([f"a{k}_{random.randrange(6)}" if k in at else w for k, w in enumerate(base)])
+    batch = talk(spark, [(k, f"n{k}", [("User", " ".join(w))]) for k, w in enumerate(rows)])
+    found = []
+    for first in (3, 1000):
+        monkeypatch.setattr(incremental, "FIRST", first)
+        found.append({r["incoming_id"] for r in incremental.repeats(dialogues(record(1, None)), batch).collect()})
+    assert found[0] == found[1]
+
+
 def test_sequential_acceptance(spark):
     import random
 

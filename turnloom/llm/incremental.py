@@ -204,7 +204,7 @@ def verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return both.mapInPandas(run, "id bigint, other bigint, ratio double")
 
 
-def near(batch_posts: DataFrame, store: DataFrame, batch: DataFrame, held: DataFrame, within: bool = False) -> DataFrame:
+def near(batch_posts: DataFrame, store: DataFrame, batch: DataFrame, held: DataFrame) -> DataFrame:
     """``id, other, ratio``: stored conversations that each row of the batch repeats.
 
     The postings of the batch meet those of the ``store``; ``batch`` and
@@ -213,7 +213,7 @@ def near(batch_posts: DataFrame, store: DataFrame, batch: DataFrame, held: DataF
     store being alike costs each row a bounded number of them. A row that finds
     no partner there is tried against all the rest, so none is lost.
     """
-    want = keep(wanted(batch_posts, store, within))
+    want = keep(wanted(batch_posts, store))
     posts = store.join(bounded(keep(want.select("fp").distinct())), "fp", "left_semi").select("fp", F.col("id").alias("other"))
     posts = keep(posts.withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy("other"))))
     first = keep(verified(candidates(want, posts.where(F.col("nth") <= FIRST)), batch, held))
@@ -224,6 +224,41 @@ def near(batch_posts: DataFrame, store: DataFrame, batch: DataFrame, held: DataF
     return first.unionByName(verified(candidates(again, posts), batch, held))
 
 
+def inside(posts: DataFrame, texts: DataFrame) -> DataFrame:
+    """``id, other``: the rows of the batch that repeat an accepted smaller row of it, and that row.
+
+    Rounds: each row meets the FIRST smallest rows of its fingerprints that are
+    no repeats. One with more of them before it is not accepted yet, though it
+    may be found a repeat; repeats leave, so the next round reaches further.
+    When few leave, the rest is tried without a limit.
+    """
+    want = keep(wanted(posts, posts, within=True))
+    live = keep(posts.join(bounded(keep(want.select("fp").distinct())), "fp", "left_semi").select("fp", F.col("id").alias("other")))
+    order = Window.partitionBy("fp").orderBy("other")
+    links = tested = state = None
+    limit, before = FIRST, None
+    while True:
+        ranked = keep(live.withColumn("nth", F.row_number().over(order)))
+        met = candidates(want, ranked.where(F.col("nth") <= limit + 1) if limit else ranked)
+        pairs = met.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
+        pairs = keep(pairs if tested is None else pairs.join(tested, ["id", "other"], "left_anti"))
+        new = keep(verified(pairs, texts, texts))
+        tested = pairs if tested is None else keep(tested.unionByName(pairs))
+        links = new if links is None else keep(links.unionByName(new))
+        wait = ranked.where(F.col("nth") > limit + 1).withColumnRenamed("other", "id") if limit else ranked.limit(0).withColumnRenamed("other", "id")
+        wait = keep(want.join(wait, ["id", "fp"], "left_semi").select("id").distinct())
+        state = _settled(links, wait)
+        gone = keep(state.where("not ok").select("id"))
+        left = wait.join(gone, "id", "left_anti").count()
+        if not left:
+            return state.where("not ok").select("id", F.col("orig").alias("other"))
+        if before is not None and left * 2 > before:
+            limit = None
+        before = left
+        want = keep(want.join(gone, "id", "left_anti"))
+        live = keep(live.join(gone.withColumnRenamed("id", "other"), "other", "left_anti"))
+
+
 def repeats(history: DataFrame, incoming: DataFrame) -> DataFrame:
     """``incoming_id, orig_dialogue_id``: every incoming row that repeats an accepted conversation.
 
@@ -257,10 +292,8 @@ def repeats(history: DataFrame, incoming: DataFrame) -> DataFrame:
     del store, hits
     release(history.sparkSession)
     left_posts = fresh_posts.join(bounded(found.select("id")), "id", "left_anti")
-    links = near(left_posts, left_posts, texts_new, texts_new, within=True)
-    links = keep(links.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other"), "ratio").distinct())
-    inside = _sequential(links).join(group.select(F.col("id").alias("other"), F.col("own").alias("orig")), "other").select("id", "orig")
-    judged = group.join(found.unionByName(inside).withColumnRenamed("orig", "near"), "id", "left")
+    own = inside(left_posts, texts_new).join(group.select(F.col("id").alias("other"), F.col("own").alias("orig")), "other").select("id", "orig")
+    judged = group.join(found.unionByName(own).withColumnRenamed("orig", "near"), "id", "left")
     named = judged.select("content", F.col("id").alias("head"), "own", F.coalesce("orig", "near").alias("orig"))
     # a copy follows its head: it repeats what the head repeats, or the head itself
     rows = n.select(F.col("id").alias("incoming_id"), "content").join(named, "content").where((F.col("incoming_id") != F.col("head")) | F.col("orig").isNotNull())
@@ -268,19 +301,27 @@ def repeats(history: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def _sequential(links: DataFrame) -> DataFrame:
-    """``id, other``: the accepted partner that each row repeats; accepted rows are left out.
+    """``id, other``: the accepted partner that each row repeats; accepted rows are left out."""
+    return _settled(links, links.select("id").limit(0)).where("not ok").select("id", F.col("orig").alias("other"))
+
+
+def _settled(links: DataFrame, wait: DataFrame) -> DataFrame:
+    """``id, ok, orig``: the rows of the links that are decided, and the accepted partner of each repeat.
 
     ``links`` has ``id, other, ratio`` with other < id. A row is a repeat as
     soon as one of its smaller partners is accepted, and accepted once all of
-    them are known to be repeats; of several accepted ones it names the most
-    alike. A crowd of like rows is settled in one round by its first; more
-    rounds are needed only for chains whose ends are unlike.
+    them are known to be repeats, unless it is to ``wait`` for more of them; of
+    several accepted ones it names the most alike. A crowd of like rows is
+    settled in one round by its first; more rounds are needed only for chains
+    whose ends are unlike.
     """
-    state = keep(links.select(F.col("other").alias("id")).distinct().join(links.select("id").distinct(), "id", "left_anti").select("id", F.lit(True).alias("ok"), F.lit(None).cast("long").alias("orig")))
+    links = keep(links.join(wait.withColumn("waits", F.lit(True)), "id", "left"))
+    first = links.select(F.col("other").alias("id")).distinct().join(links.select("id").distinct(), "id", "left_anti").join(wait, "id", "left_anti")
+    state = keep(first.select("id", F.lit(True).alias("ok"), F.lit(None).cast("long").alias("orig")))
     while True:
         known = links.join(state.select(F.col("id").alias("other"), "ok"), "other", "left").join(state.select("id"), "id", "left_anti")
-        now = known.groupBy("id").agg(F.count("*").alias("n"), F.count("ok").alias("k"), F.max_by(F.when(F.col("ok"), F.col("other")), F.when(F.col("ok"), F.struct("ratio", -F.col("other")))).alias("orig")).where("n = k OR orig IS NOT NULL")
+        now = known.groupBy("id").agg(F.count("*").alias("n"), F.count("ok").alias("k"), F.count("waits").alias("w"), F.max_by(F.when(F.col("ok"), F.col("other")), F.when(F.col("ok"), F.struct("ratio", -F.col("other")))).alias("orig")).where("n = k AND w = 0 OR orig IS NOT NULL")
         now = keep(now.select("id", F.col("orig").isNull().alias("ok"), "orig"))
         if now.isEmpty():
-            return state.where("not ok").select("id", F.col("orig").alias("other"))
+            return state
         state = keep(state.unionByName(now))
