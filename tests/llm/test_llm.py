@@ -108,6 +108,12 @@ def test_repetition_cases(dialogues):
     assert repetition.shares(d).count() == 44 and repetition.cases(d.limit(0)).count() == 0
 
 
+def test_repetition_in_a_group_full_of_it(dialogues):
+    clean = [record(k, [f"first question number {k} about the place {k * 7}", f"some answer {k} with other words {k * 3} inside"]) for k in range(130)]
+    again = [record(1000 + k, [f"please come and see our fine new rooms {k} by the river today"] * 5) for k in range(120)]
+    assert repetition.cases(dialogues(*clean, *again)).count() == 120
+
+
 def talk(spark, rows):
     return spark.createDataFrame([(k, 1, None, name, None, None, turns, None) for k, name, turns in rows], "incoming_id bigint, batch_no int, arrived_at timestamp, dialogue_id string, goal string, domain string, turns array<struct<role:string,text:string>>, metadata struct<generated_at:string,model_version:string>")
 

@@ -14,7 +14,7 @@ from turnloom.sources.tables import bounded, keep, parallel
 
 #: Words in a row that must have occurred before.
 RUN = 5
-#: Share of repeated words from which an outlier is a case; cases have 2/5 at least, others less than 3/10.
+#: Share of repeated words from which a dialogue is a case; cases have 2/5 at least, others less than 3/10.
 SHARE = 0.35
 #: Part of a group on which the covariance determinant is made least, and number of concentration steps.
 H, STEPS = 0.75, 3
@@ -132,5 +132,9 @@ def shares(dialogues: DataFrame) -> DataFrame:
 
 
 def cases(dialogues: DataFrame) -> DataFrame:
-    """``rec_id`` of the outliers towards repetition whose exact share is high."""
-    return shares(dialogues).where(F.col("outlier") & (F.col("share") >= SHARE)).select("rec_id")
+    """``rec_id`` of the dialogues whose exact share of repeated words is high.
+
+    Whether a row is an outlier of its group does not matter: in a group full
+    of repetition none is one.
+    """
+    return statistics(dialogues).where(F.col("share") >= SHARE).select("rec_id")
