@@ -114,6 +114,11 @@ def test_repetition_in_a_group_full_of_it(dialogues):
     assert repetition.cases(dialogues(*clean, *again)).count() == 120
 
 
+def test_language_of_the_whole_dialogue(dialogues):
+    d = dialogues(record(1, ["The room is free and you can have it for the night. " * 45, "Das Haus ist nicht weit von der Straße und wir haben noch ein Zimmer. " * 120]))
+    assert repetition.shares(d).first()["lang"] == "de"
+
+
 def talk(spark, rows):
     return spark.createDataFrame([(k, 1, None, name, None, None, turns, None) for k, name, turns in rows], "incoming_id bigint, batch_no int, arrived_at timestamp, dialogue_id string, goal string, domain string, turns array<struct<role:string,text:string>>, metadata struct<generated_at:string,model_version:string>")
 

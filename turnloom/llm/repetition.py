@@ -67,7 +67,7 @@ def statistics(dialogues: DataFrame) -> DataFrame:
                 share = repeated_words(words) / n if n else 0.0
                 held = [t for t in turns if len(t) > 20]
                 again = 1 - len(set(held)) / len(held) if held else 0.0
-                out.append((n, share, len(set(words)) / (n**0.5) if n else 1.0, again, language(text[:2000])[0]))
+                out.append((n, share, len(set(words)) / (n**0.5) if n else 1.0, again, language(text)[0]))
             n, share, variety, again, lang = zip(*out) if out else ((),) * 5
             s, a = np.array(share, float), np.array(again, float)
             yield pd.DataFrame({
