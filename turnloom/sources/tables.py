@@ -17,33 +17,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that all executors reach: the checkpoint folder of the session.
 
-    The files lie where all executors can read them, so a lost executor costs
-    nothing but its running tasks. Where the setting is absent, as in local
-    tests, a temporary folder is used.
+    It comes from ``spark.checkpoint.dir``. Only a session on one machine that
+    names none gets a temporary folder; a cluster without one is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="turnloom-"))
-    return df.checkpoint()
-
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="turnloom-"))
+    return sc.getCheckpointDir()
 
-def keep_partitioned(df: DataFrame) -> DataFrame:
-    """Like ``keep``, for a frame that was repartitioned by a key: later joins on the key needn't shuffle it.
 
-    A plan under adaptive execution doesn't tell how its result is partitioned,
-    so adaptive execution rests while this one is written.
-    """
-    conf = df.sparkSession.conf
-    before = conf.get("spark.sql.adaptive.enabled")
-    conf.set("spark.sql.adaptive.enabled", "false")
-    try:
-        return keep(df.select("*"))
-    finally:
-        conf.set("spark.sql.adaptive.enabled", before)
+def keep(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the shared folder, so a lost executor costs nothing but its running tasks."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def strip(c: Column) -> Column:
@@ -83,15 +75,3 @@ def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def slots(df: DataFrame) -> int:
     """Partitions of a shuffle in the session of the frame."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def release(spark: SparkSession) -> None:
-    """Let go of files of frames that nothing refers to any more.
-
-    Spark deletes shuffle files and checkpoints once their objects are
-    collected; asking for it between stages keeps the peak of disk low.
-    """
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
