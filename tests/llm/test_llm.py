@@ -139,46 +139,98 @@ def test_incremental_repeats(spark, dialogues):
     assert incremental.repeats(hist.limit(0), batch.limit(0)).count() == 0
 
 
-def test_hot_fingerprints_lose_nothing(spark, dialogues, monkeypatch):
-    monkeypatch.setattr(incremental, "FIRST", 2)
-    base = [f"w{k}" for k in range(60)]
-    held = [record(k, [" ".join(base[:40] + [f"v{k}_{j}" for j in range(40)])], name=f"h{k}") for k in range(12)]
-    batch = talk(spark, [(1, "x", [("User", " ".join(base[:40] + [f"v11_{j}" for j in range(38)]))])])
-    assert rows_of(incremental.repeats(dialogues(*held), batch)) == [(1, "h11")]
+def one_turn(spark, texts, start=0, name="n"):
+    return talk(spark, [(k, f"{name}{k}", [("User", " ".join(w))]) for k, w in enumerate(texts, start)])
 
 
-def test_hot_fingerprints_inside_a_batch(spark, dialogues, monkeypatch):
+def sequential(held, batch):
+    """{row: accepted originals that it repeats} by comparing all pairs in order."""
+    accepted, out = list(held), {}
+    for k, (name, w) in enumerate(batch):
+        same = {n for n, x in accepted if incremental.lcs(w, x) >= incremental.SAME * max(len(w), len(x))}
+        if same:
+            out[k] = same
+        else:
+            accepted.append((name, w))
+    return out
+
+
+def agrees(got, want):
+    got = {r["incoming_id"]: r["orig_dialogue_id"] for r in got.collect()}
+    return got.keys() == want.keys() and all(got[k] in want[k] for k in got)
+
+
+def test_repeats_among_templates(spark, dialogues):
+    import random
+
+    random.seed(8)
+    vocabulary = [f"w{k}" for k in range(300)]
+    make = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    foreign, held, batch = [make(120) for _ in range(60)], [], []
+    for _ in range(25):
+        template = make(100)
+        held += [template + make(20)] + [template + make(40) for _ in range(4)]
+        batch.append(template + random.choice(foreign)[:20])
+    held += foreign
+    hist = dialogues(*[record(k, [" ".join(w)], name=f"h{k}") for k, w in enumerate(held)])
+    want = sequential([(f"h{k}", w) for k, w in enumerate(held)], [(f"n{k}", w) for k, w in enumerate(batch)])
+    assert len(want) == 25
+    assert agrees(incremental.repeats(hist, one_turn(spark, batch)), want)
+
+
+@pytest.mark.parametrize("block", [70, 4096])
+def test_crowds_of_altered_copies(spark, dialogues, monkeypatch, block):
     import random
 
     random.seed(4)
-    base, rows = [f"w{k}" for k in range(90)], []
-    for _ in range(50):
-        at = random.sample(range(90), 15 if rows else 0)
-        rows.append([f"a{k}_{random.randrange(6)}" if k in at else w for k, w in enumerate(base)])
-    batch = talk(spark, [(k, f"n{k}", [("User", " ".join(w))]) for k, w in enumerate(rows)])
-    found = []
-    for first in (3, 1000):
-        monkeypatch.setattr(incremental, "FIRST", first)
-        found.append({r["incoming_id"] for r in incremental.repeats(dialogues(record(1, None)), batch).collect()})
-    assert found[0] == found[1]
-
-
-def test_sequential_acceptance(spark):
+    monkeypatch.setattr(incremental, "BLOCK", block)
+    base, rows = [f"w{k}" for k in range(60)], []
+    for _ in range(200):
+        at = random.sample(range(60), 9 if rows else 0)
+        start = random.choice(rows) if len(rows) % 2 else base
+        rows.append([f"a{k}_{random.randrange(6)}" if k in at else w for k, w in enumerate(start)])
+    want = sequential([], [(f"n{k}", w) for k, w in enumerate(rows)])
+    assert agrees(incremental.repeats(dialogues(record(1, None)), one_turn(spark, rows)), want)
+
+
+def test_repeats_of_short_and_evenly_changed_conversations(spark, dialogues):
+    import random
+
+    random.seed(6)
+    held, batch = [], []
+    for n in [1, 2, 5, 6, 7, 11, 12, 18, 24, 25, 29, 30, 31, 35, 36, 37, 48, 60, 90]:
+        for _ in range(3):
+            w = [f"v{random.randrange(80)}" for _ in range(n)]
+            held.append(w)
+            batch += [[f"x{k}" if k % 6 == 3 else v for k, v in enumerate(w)], w[: n - n // 6], w + [f"y{k}" for k in range(n // 5)], [f"x{k}" if k % 4 == 3 else v for k, v in enumerate(w)]]
+    hist = dialogues(*[record(k, [" ".join(w)], name=f"h{k}") for k, w in enumerate(held)])
+    want = sequential([(f"h{k}", w) for k, w in enumerate(held)], [(f"n{k}", w) for k, w in enumerate(batch)])
+    assert len(want) > 100
+    assert agrees(incremental.repeats(hist, one_turn(spark, batch)), want)
+
+
+def test_second_batch_needs_only_the_store(spark, dialogues, tmp_path):
     import random
 
-    random.seed(2)
-    for _ in range(3):
-        edges = sorted({tuple(sorted(random.sample(range(12), 2))) for _ in range(14)})
-        links = spark.createDataFrame([(b, a, 0.9) for a, b in edges], "id bigint, other bigint, ratio double")
-        accepted, repeats = set(), {}
-        for k in range(12):
-            smaller = [a for a, b in edges if b == k and a in accepted]
-            if smaller:
-                repeats[k] = smaller
-            else:
-                accepted.add(k)
-        got = {r["id"]: r["other"] for r in incremental._sequential(links).collect()}
-        assert got.keys() == repeats.keys() and all(got[k] in repeats[k] for k in got)
+    random.seed(7)
+    make = lambda: [f"w{random.randrange(300)}" for _ in range(50)]
+    a, b, c = make(), make(), make()
+    first = incremental.repeats(dialogues(record(1, [" ".join(a)], name="h1")), one_turn(spark, [a, b]), path=str(tmp_path / "store"))
+    assert rows_of(first) == [(0, "h1")]
+    store = incremental.FingerprintStore(spark, str(tmp_path / "store"))
+    altered = [f"z{k}" if k % 10 == 5 else w for k, w in enumerate(b)]
+    assert rows_of(incremental.accept(store, one_turn(spark, [a, altered, c, c], 10, "m"))) == [(10, "h1"), (11, "n1"), (13, "m12")]
+    assert rows_of(incremental.accept(store, one_turn(spark, [c], 20, "o"))) == [(20, "m12")]
+    assert {r["name"] for r in store.names().collect()} == {"h1", "n1", "m12"}
+
+
+def test_bloom_filter():
+    import numpy as np
+
+    fps = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 5000, dtype=np.uint32))
+    raw = incremental.bloom_filter(fps)
+    other = np.setdiff1d(np.random.default_rng(2).integers(0, 1 << 32, 5000, dtype=np.uint32), fps)
+    assert incremental.maybe_held(raw, fps).all() and incremental.maybe_held(raw, other).mean() < 0.02
 
 
 def test_lcs():

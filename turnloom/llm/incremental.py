@@ -1,40 +1,46 @@
 """Checking new batches for repeats of everything accepted so far, without reprocessing it.
 
-Accepted conversations live in a fingerprint store: winnowed word-shingle
-fingerprints, partitioned by hash, each partition with its own Bloom filter. A
-batch is fingerprinted, prescreened against the filters, looked up in the store
-by its rarest fingerprints, and the candidates are verified on their words.
+Accepted conversations live in a store of segments, one row each in a Parquet
+folder: the winnowed fingerprints of some thousand conversations, a Bloom filter
+over them, and the conversations' words as hashes. A batch is taken in blocks in
+the order of its ids. A block goes to every segment once: the filter prescreens
+its fingerprints, positives are looked up and the fingerprints that a row shares
+with each conversation are counted; what shares enough is verified on the words
+where they lie. Accepted rows of the block become a segment of their own before
+the next block comes. History is never read again, and nothing is shuffled by
+fingerprint, so a phrase that a third of all conversations hold fills no task.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnloom.sources.tables import bounded, keep, keep_partitioned, parallel, release, slots
+from turnloom.sources.tables import bounded, keep, parallel, shared_folder
 
-#: Words of a shingle, and shingles of which a winnowing window keeps one: a common run of
-#: SHINGLE + WINDOW - 1 words is sure to share a fingerprint.
-SHINGLE, WINDOW = 4, 3
 #: Share of the longer conversation's words that must follow in the same order (5/6 by definition).
 SAME = 5 / 6
-#: Of n fingerprints the rarest n - ceil(n * LOOKUP) + 1 are looked up, enough to meet for certain
-#: every partner that shares LOOKUP of them; one that shares three in five is missed with a chance
-#: of 0.4 to the power of their number.
-LOOKUP = 0.85
-#: Looked-up fingerprints that a partner must share (one, if fewer than four were looked up).
-SHARED = 2
+#: Words of a shingle, and shingles of which a winnowing window keeps one.
+SHINGLE, WINDOW = 3, 2
+#: Conversations up to SHORT_HELD words are indexed by all their word pairs too, and rows up to SHORT are looked up by
+#: them: a partner of SHORT words has at most 6/5 as many. From LONG_HELD words on they have shingles.
+SHORT, SHORT_HELD, LONG_HELD = 30, 36, 25
+#: Conversations of a segment, and rows of a block: what one task and the driver hold at once.
+SEGMENT, BLOCK = 2048, 4096
 #: Bits of a Bloom filter for each fingerprint, and hash functions.
 BLOOM_BITS, BLOOM_HASHES = 12, 4
-#: Conversations of a fingerprint that are tried first; the rest follow for rows still without a partner.
-FIRST = 64
+#: Stamp of conversations without a time of their own: behind all that have one.
+LATER = 1 << 61
+#: Conversations whose counts are made in one step; bounds memory, not results.
+STEP = 64
 
 _WORD = re.compile(r"\w+")
-_MASK = (1 << 64) - 1
+_MIX = 0x9E3779B97F4A7C15
 
 
 def conversation(turns: str = "turns"):
@@ -42,12 +48,60 @@ def conversation(turns: str = "turns"):
     return F.array_join(F.coalesce(F.transform(F.col(turns), lambda t: F.coalesce(t["text"], F.lit(""))), F.array().cast("array<string>")), " ")
 
 
-def fingerprints(rows: DataFrame) -> DataFrame:
-    """``id, name, stamp, content, prints`` of each row of ``id, name, stamp, text`` that has words.
+def needed(n: int, long: bool) -> int:
+    """Fingerprints that a row of n words must share with a conversation of the same words in order.
 
-    ``prints`` are the distinct winnowed fingerprints, and ``content`` is the
-    hash of the whole word sequence: equal for conversations that agree but for
-    case, punctuation and white space.
+    SAME of the longer one's N words in at most N/6 + 1 unbroken runs: a run of
+    r words holds (r - 3) / 2 winnowed shingles at least, so N/6 - 3/2 are
+    shared. Of word pairs, with a break for every word that either side has
+    alone, N/2 - 1 are shared. Counted with their repetitions.
+    """
+    return max(1, n // 6 - 1) if long else max(1, n // 2 - 1)
+
+
+def marks(words, long: bool):
+    """The fingerprints of a conversation's word hashes as sorted distinct 32-bit numbers.
+
+    ``long``: winnowed shingles of SHINGLE words; else all word pairs, or up to
+    four words the whole (a longer partner would lack more than SAME). A fingerprint that occurs k times stands for k of
+    them, so that sharing is counted with repetitions.
+    """
+    import numpy as np
+
+    size = SHINGLE if long else 2
+    a = words.astype(np.uint64)
+    if long and len(a) < LONG_HELD or not long and len(a) > SHORT_HELD or not len(a):
+        return np.array([], np.uint32)
+    if not long and len(a) <= 4:
+        g = np.array([np.sum((a + np.uint64(7)) * (np.arange(1, len(a) + 1, dtype=np.uint64) * np.uint64(_MIX)))])
+    else:
+        m = len(a) - size + 1
+        g = np.zeros(m, np.uint64)
+        for k in range(size):
+            g += (a[k : k + m] + np.uint64(1)) * np.uint64(pow(_MIX, k + 1 + 8 * long, 1 << 64))
+        g = _mixed(g)
+        if long and m > WINDOW:
+            view = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
+            g = g[np.unique(view.argmin(axis=1) + np.arange(len(view)))]
+    g = np.sort(g)
+    nth = np.arange(len(g)) - np.searchsorted(g, g)
+    return np.unique((_mixed(g + nth.astype(np.uint64) * np.uint64(_MIX)) >> np.uint64(32)).astype(np.uint32))
+
+
+def _mixed(g):
+    """64-bit numbers with their bits stirred."""
+    import numpy as np
+
+    g = (g ^ (g >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return g ^ (g >> np.uint64(32))
+
+
+def worded(rows: DataFrame) -> DataFrame:
+    """``id, name, stamp, content, words`` of each row of ``id, name, stamp, text`` that has words.
+
+    ``words`` are 32-bit hashes of the words in order, ``content`` is the hash of
+    the whole sequence: equal for conversations that agree but for case,
+    punctuation and white space.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -55,115 +109,51 @@ def fingerprints(rows: DataFrame) -> DataFrame:
         import xxhash
 
         known: dict[str, int] = {}
-        powers = np.array([pow(0x9E3779B97F4A7C15, k, 1 << 64) for k in range(SHINGLE)], dtype=np.uint64)
         for b in batches:
-            content, prints = [], []
+            content, words = [], []
             for text in b["text"]:
                 if len(known) > 500_000:
                     known.clear()
-                ws = []
-                for w in _WORD.findall(text.lower()):
-                    h = known.get(w)
-                    if h is None:
-                        h = known[w] = xxhash.xxh3_64_intdigest(w)
-                    ws.append(h)
-                a = np.array(ws, dtype=np.uint64)
-                content.append(np.array(xxhash.xxh3_64_intdigest(a.tobytes()), np.uint64).astype(np.int64).item())
-                if len(a) < SHINGLE:
-                    prints.append(np.array([content[-1]] if len(a) else [], np.int64))
-                    continue
-                m = len(a) - SHINGLE + 1
-                g = np.zeros(m, np.uint64)
-                for k in range(SHINGLE):
-                    g += a[k : k + m] * powers[k]
-                g ^= g >> np.uint64(29)
-                g *= np.uint64(0xBF58476D1CE4E5B9)
-                g ^= g >> np.uint64(32)
-                if m > WINDOW:
-                    g = np.lib.stride_tricks.sliding_window_view(g, WINDOW).min(axis=1)
-                prints.append(np.unique(g).astype(np.int64))
-            out = pd.DataFrame({"id": b["id"], "name": b["name"], "stamp": b["stamp"], "content": content, "prints": prints})
-            yield out[[len(p) > 0 for p in prints]]
-
-    return parallel(rows.select(F.col("id").cast("long").alias("id"), "name", "stamp", "text")).mapInPandas(run, "id bigint, name string, stamp bigint, content bigint, prints array<bigint>")
-
-
-def postings(prints: DataFrame) -> DataFrame:
-    """``fp, id, total``: one row per fingerprint, spread over the partitions of the store by its hash."""
-    return prints.select(F.explode("prints").alias("fp"), "id", F.size("prints").alias("total")).repartition(slots(prints), "fp")
-
-
-def _part(df: DataFrame):
-    """The store partition of a fingerprint: where hash partitioning puts it."""
-    return F.pmod(F.hash("fp"), F.lit(slots(df))).alias("part")
-
-
-def bloom_filters(store: DataFrame) -> DataFrame:
-    """``part, bits``: Bloom filters over the fingerprints of each partition of the store, built where it lies."""
-
-    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        parts: dict[int, list] = {}
-        for b in batches:
-            for part, fps in b.groupby("part")["fp"]:
-                parts.setdefault(part, []).append(np.unique(fps.to_numpy(np.int64)))
-        for part, held in parts.items():
-            fps = np.unique(np.concatenate(held)).view(np.uint64)
-            size = 1 << max(10, int(len(fps) * BLOOM_BITS - 1).bit_length())
-            bits = np.zeros(size, bool)
-            for k in range(BLOOM_HASHES):
-                bits[_bloom_at(fps, k, size)] = True
-            yield pd.DataFrame({"part": [part], "bits": [np.packbits(bits).tobytes()]})
+                ws = _WORD.findall(text.lower())
+                for w in ws:
+                    if w not in known:
+                        known[w] = xxhash.xxh32_intdigest(w)
+                words.append(np.array([known[w] for w in ws], np.uint32).tobytes())
+                content.append(xxhash.xxh3_128_digest("\x00".join(ws)))
+            out = pd.DataFrame({"id": b["id"], "name": b["name"], "stamp": b["stamp"], "content": content, "words": words})
+            yield out[[len(w) > 0 for w in words]]
 
-    return store.select(_part(store), "fp").mapInPandas(build, "part int, bits binary")
+    return parallel(rows.select(F.col("id").cast("long").alias("id"), "name", "stamp", "text")).mapInPandas(run, "id bigint, name string, stamp bigint, content binary, words binary")
 
 
 def _bloom_at(fps, k: int, size: int):
     """Position of each fingerprint in a filter of ``size`` bits under hash function k."""
     import numpy as np
 
-    h = fps * np.uint64((0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019) & _MASK)
-    return ((h ^ (h >> np.uint64(31 + k))) & np.uint64(size - 1)).astype(np.int64)
+    return (_mixed(fps.astype(np.uint64) + np.uint64((k + 1) * _MIX % (1 << 64))) & np.uint64(size - 1)).astype(np.int64)
 
 
-def prescreened(batch: DataFrame, filters: DataFrame) -> DataFrame:
-    """The postings of the batch whose fingerprints the filters may hold."""
-
-    def probe(mine: pd.DataFrame, blooms: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        fps = mine["fp"].to_numpy(np.int64).view(np.uint64)
-        held = np.zeros(len(fps), bool)
-        for raw in blooms["bits"]:
-            bits = np.frombuffer(raw, np.uint8)
-            hit = np.ones(len(fps), bool)
-            for k in range(BLOOM_HASHES):
-                at = _bloom_at(fps, k, len(bits) * 8)
-                hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
-            held |= hit
-        return mine.loc[held, ["fp", "id", "total"]]
-
-    return batch.select(_part(batch), "fp", "id", "total").groupBy("part").cogroup(filters.groupBy("part")).applyInPandas(probe, "fp bigint, id bigint, total int")
-
+def bloom_filter(fps) -> bytes:
+    """A Bloom filter over fingerprints."""
+    import numpy as np
 
-def wanted(batch: DataFrame, store: DataFrame, within: bool = False) -> DataFrame:
-    """``id, fp, need``: the rarest fingerprints each row looks up, by their frequency in the store.
+    size = 1 << max(10, int(len(fps) * BLOOM_BITS - 1).bit_length())
+    bits = np.zeros(size, bool)
+    for k in range(BLOOM_HASHES):
+        bits[_bloom_at(fps, k, size)] = True
+    return np.packbits(bits).tobytes()
 
-    Those the store doesn't hold are no use to look up and are left out; so are
-    a row's own where the batch is looked up ``within`` itself.
-    """
-    df = store.groupBy("fp").agg(F.count("*").alias("df")).where(F.col("df") > int(within))
-    held = Window.partitionBy("id")
-    ranked = df.join(batch.hint("shuffle_hash"), "fp").withColumn("nth", F.row_number().over(held.orderBy("df", "fp"))).withColumn("held", F.count("*").over(held))
-    span = F.col("total") - F.ceil(F.col("total") * LOOKUP) + 1
-    return ranked.where(F.col("nth") <= span).select("id", "fp", F.when(F.least(span, F.col("held")) >= 4, SHARED).otherwise(1).alias("need"))
 
+def maybe_held(raw: bytes, fps):
+    """For each fingerprint whether the filter may hold it."""
+    import numpy as np
 
-def candidates(want: DataFrame, posts: DataFrame) -> DataFrame:
-    """``id, other``: rows and stored conversations that share enough of the wanted fingerprints."""
-    met = want.join(posts, "fp").where(F.col("id") != F.col("other"))
-    return met.groupBy("id", "other").agg(F.count("*").alias("shared"), F.max("need").alias("need")).where(F.col("shared") >= F.col("need")).select("id", "other")
+    bits = np.frombuffer(raw, np.uint8)
+    hit = np.ones(len(fps), bool)
+    for k in range(BLOOM_HASHES):
+        at = _bloom_at(fps, k, len(bits) * 8)
+        hit &= (bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+    return hit
 
 
 def lcs(a, b) -> int:
@@ -180,148 +170,280 @@ def lcs(a, b) -> int:
     return len(a) - v.bit_count()
 
 
-def verified(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """``id, other, ratio`` of the pairs whose words agree in order for SAME of the longer one.
+def alike(a, b) -> float:
+    """Share of the longer conversation's words that stand in the other in the same order; 0 below SAME."""
+    longer = max(len(a), len(b), 1)
+    if min(len(a), len(b)) < SAME * longer:
+        return 0.0
+    ratio = lcs(a.tolist(), b.tolist()) / longer
+    return ratio if ratio >= SAME else 0.0
 
-    ``left`` and ``right`` are tables of ``id, turns``; only the conversations
-    that stand in a pair are read out of them.
-    """
-    pairs = keep(pairs)
-    l = left.join(bounded(pairs.select("id").distinct()), "id", "left_semi").select("id", conversation().alias("ta"))
-    r = right.withColumnRenamed("id", "other").join(bounded(pairs.select("other").distinct()), "other", "left_semi").select("other", conversation().alias("tb"))
-    both = pairs.join(l, "id").join(r, "other").select("id", "other", "ta", "tb")
+
+class Block:
+    """Some rows of a batch, sorted by length, with an index of their fingerprints."""
+
+    def __init__(self, ids, words: list, long: bool):
+        import numpy as np
+
+        size = np.array([len(w) for w in words], np.int64)
+        mine = np.flatnonzero((size > SHORT) == long)
+        mine = mine[np.argsort(size[mine], kind="stable")]
+        self.long, self.ids, self.words, self.size = long, [ids[k] for k in mine], [words[k] for k in mine], size[mine]
+        self.need = np.array([needed(int(n), long) for n in self.size], np.int64)
+        sets = [marks(w, long) for w in self.words]
+        flat = np.concatenate(sets) if sets else np.array([], np.uint32)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.lexsort((owner, flat))
+        self.fps, start = np.unique(flat[order], return_index=True)
+        #: postings as one sorted key each: place of the fingerprint, then the row
+        place = np.repeat(np.arange(len(self.fps)), np.diff(np.append(start, len(flat))))
+        self.keys = place * len(sets) + owner[order]
+
+    def shared(self, fps, of, sizes, held=None) -> Iterator[tuple[int, object, object]]:
+        """(conversation, rows, shared fingerprints): rows of the block that share enough with each conversation.
+
+        ``fps`` are fingerprints and ``of`` the conversations they belong to, in order; ``sizes`` their lengths in
+        words. ``held`` tells which fingerprints of the block the prescreen let pass.
+        """
+        import numpy as np
+
+        if not len(self.fps) or not len(fps):
+            return
+        at = np.searchsorted(self.fps, fps)
+        at[at == len(self.fps)] = 0
+        hit = self.fps[at] == fps
+        if held is not None:
+            hit &= held[at]
+        at, of, rows = at[hit], of[hit], len(self.ids)
+        order = np.argsort(sizes, kind="stable")
+        rank = np.empty(len(sizes), np.int64)
+        rank[order] = np.arange(len(sizes))
+        by = np.argsort(rank[of], kind="stable")
+        at, of = at[by], rank[of][by]
+        edges = np.searchsorted(of, np.arange(0, len(sizes) + STEP, STEP))
+        for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if lo == hi:
+                continue
+            some = order[c * STEP : (c + 1) * STEP]
+            n = sizes[some]
+            # only rows of a like length: SAME of the longer one
+            first, last = np.searchsorted(self.size, -(-5 * int(n.min()) // 6)), np.searchsorted(self.size, 6 * int(n.max()) // 5, side="right")
+            if first >= last:
+                continue
+            a, b = np.searchsorted(self.keys, at[lo:hi] * rows + first), np.searchsorted(self.keys, at[lo:hi] * rows + last)
+            k = b - a
+            index = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
+            width = last - first
+            row = self.keys[index] - np.repeat(at[lo:hi], k) * rows - first
+            count = np.bincount(np.repeat(of[lo:hi] - c * STEP, k) * width + row, minlength=len(some) * width).reshape(len(some), width)
+            fits = (count >= self.need[first:last]) & (6 * self.size[first:last] >= 5 * n[:, None]) & (5 * self.size[first:last] <= 6 * n[:, None])
+            for j in np.flatnonzero(fits.any(axis=1)):
+                r = np.flatnonzero(fits[j])
+                yield int(some[j]), r + first, count[j, r]
+
+
+def _stacked(arrays: list) -> tuple[bytes, list[int]]:
+    import numpy as np
+
+    return (np.concatenate(arrays) if arrays else np.array([], np.uint32)).tobytes(), [len(a) for a in arrays]
+
+
+def _unstacked(raw: bytes, sizes) -> list:
+    import numpy as np
+
+    return np.split(np.frombuffer(raw, np.uint32), np.cumsum(sizes)[:-1]) if len(sizes) else []
+
+
+_SEGMENT = "ids array<bigint>, stamps array<bigint>, sizes array<int>, words binary, long_fps binary, n_long array<int>, long_bloom binary, short_fps binary, n_short array<int>, short_bloom binary"
+
+
+def segments(rows: DataFrame) -> DataFrame:
+    """Store segments of rows of ``id, stamp, words``: at most SEGMENT conversations each, built where the rows lie."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            ratio = []
-            for x, y in zip(b["ta"], b["tb"]):
-                a, c = _WORD.findall(x.lower()), _WORD.findall(y.lower())
-                least = SAME * max(len(a), len(c), 1)
-                ratio.append(lcs(a, c) / max(len(a), len(c), 1) if min(len(a), len(c)) >= least else 0.0)
-            out = pd.DataFrame({"id": b["id"], "other": b["other"], "ratio": ratio})
-            yield out[out["ratio"] >= SAME]
+        import numpy as np
 
-    return both.mapInPandas(run, "id bigint, other bigint, ratio double")
+        for batch in batches:
+            for s in range(0, len(batch), SEGMENT):
+                b = batch.iloc[s : s + SEGMENT]
+                words = [np.frombuffer(w, np.uint32) for w in b["words"]]
+                raw, sizes = _stacked(words)
+                row = {"ids": b["id"].tolist(), "stamps": b["stamp"].tolist(), "sizes": sizes, "words": raw}
+                for name, long in (("long", True), ("short", False)):
+                    sets = [marks(w, long) for w in words]
+                    fps, n = _stacked(sets)
+                    row |= {f"{name}_fps": fps, f"n_{name}": n, f"{name}_bloom": bloom_filter(np.unique(np.frombuffer(fps, np.uint32)))}
+                yield pd.DataFrame([row])
 
+    return rows.select("id", "stamp", "words").mapInPandas(run, _SEGMENT)
 
-def near(batch_posts: DataFrame, store: DataFrame, batch: DataFrame, held: DataFrame) -> DataFrame:
-    """``id, other, ratio``: stored conversations that each row of the batch repeats.
 
-    The postings of the batch meet those of the ``store``; ``batch`` and
-    ``held`` are the tables of ``id, turns`` behind them. First the FIRST
-    earliest conversations of every fingerprint are tried, so a third of the
-    store being alike costs each row a bounded number of them. A row that finds
-    no partner there is tried against all the rest, so none is lost.
+class FingerprintStore:
+    """The accepted conversations below one folder: segments to search, and the names of their ids.
+
+    A store outlives the session: open it by its path, and check the next batch
+    with nothing but the batch at hand.
     """
-    want = keep(wanted(batch_posts, store))
-    posts = store.join(bounded(keep(want.select("fp").distinct())), "fp", "left_semi").select("fp", F.col("id").alias("other"))
-    posts = keep(posts.withColumn("nth", F.row_number().over(Window.partitionBy("fp").orderBy("other"))))
-    first = keep(verified(candidates(want, posts.where(F.col("nth") <= FIRST)), batch, held))
-    hot = keep(posts.where(F.col("nth") == FIRST + 1).select("fp"))
-    if hot.isEmpty():
-        return first
-    again = want.join(want.join(hot, "fp", "left_semi").select("id").distinct(), "id", "left_semi").join(first.select("id").distinct(), "id", "left_anti")
-    return first.unionByName(verified(candidates(again, posts), batch, held))
-
-
-def inside(posts: DataFrame, texts: DataFrame) -> DataFrame:
-    """``id, other``: the rows of the batch that repeat an accepted smaller row of it, and that row.
-
-    Rounds: each row meets the FIRST smallest rows of its fingerprints that are
-    no repeats. One with more of them before it is not accepted yet, though it
-    may be found a repeat; repeats leave, so the next round reaches further.
-    When few leave, the rest is tried without a limit.
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def add(self, rows: DataFrame) -> None:
+        """Accept rows of ``id, name, stamp, words``; the caller knows that they repeat nothing held, or doesn't mind."""
+        segments(rows).write.mode("append").option("compression", "zstd").parquet(f"{self.path}/segments")
+        rows.select("id", "stamp", "name").write.mode("append").parquet(f"{self.path}/names")
+
+    def names(self) -> DataFrame:
+        """``id, stamp, name`` of all held conversations."""
+        return self.spark.read.schema("id bigint, stamp bigint, name string").parquet(f"{self.path}/names")
+
+    def matches(self, ids: list[int], words: list) -> DataFrame:
+        """``id, other, other_stamp``: for each row that repeats a held conversation that conversation.
+
+        In every segment a row's candidates are tried by falling number of shared
+        fingerprints until one is verified; over all segments the most alike of
+        these counts, then the earliest. All candidates are tried if none is.
+        """
+        blocks = self.spark.sparkContext.broadcast([Block(ids, words, long) for long in (True, False)])
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            import numpy as np
+
+            for b in batches:
+                out = []
+                for seg in b.to_dict("records"):
+                    sizes = np.array(seg["sizes"], np.int64)
+                    held_words = _unstacked(seg["words"], seg["sizes"])
+                    for block in blocks.value:
+                        name = "long" if block.long else "short"
+                        fps = np.frombuffer(seg[f"{name}_fps"], np.uint32)
+                        held = maybe_held(seg[f"{name}_bloom"], block.fps)
+                        tried: dict[int, list[tuple[int, int]]] = {}
+                        for k, rows, counts in block.shared(fps, np.repeat(np.arange(len(sizes)), seg[f"n_{name}"]), sizes, held):
+                            for r, c in zip(rows.tolist(), counts.tolist()):
+                                tried.setdefault(r, []).append((-c, k))
+                        for r, ks in tried.items():
+                            for _, k in sorted(ks):
+                                if ratio := alike(block.words[r], held_words[k]):
+                                    out.append((block.ids[r], seg["ids"][k], seg["stamps"][k], ratio))
+                                    break
+                yield pd.DataFrame(out, columns=["id", "other", "stamp", "ratio"])
+
+        stored = self.spark.read.schema(_SEGMENT).parquet(f"{self.path}/segments")
+        found = parallel(stored).mapInPandas(run, "id bigint, other bigint, stamp bigint, ratio double")
+        best = keep(found.groupBy("id").agg(F.max_by(F.struct("other", "stamp"), F.struct("ratio", -F.col("stamp"), -F.col("other"))).alias("o")))
+        blocks.destroy()
+        return best.select("id", F.col("o.other").alias("other"), F.col("o.stamp").alias("other_stamp"))
+
+    def check(self, batch: DataFrame) -> DataFrame:
+        """``id, orig``: rows of ``id, name, stamp, words`` that repeat an accepted conversation, and its name.
+
+        The batch is taken in blocks of about BLOCK rows in the order of ids, so
+        that each row sees all accepted rows before it; the others are accepted
+        and added. Nothing but the batch and the store is read.
+        """
+        folder = shared_folder(self.spark)
+        path = f"{folder}/batch-{uuid.uuid4().hex}"
+        batch.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
+        rows = self.spark.read.schema("id bigint, name string, stamp bigint, content binary, words binary").parquet(path)
+        n = rows.count()
+        parts = -(-n // BLOCK)
+        edges = sorted(set(rows.approxQuantile("id", [k / parts for k in range(1, parts)], 1 / (20 * parts)))) if parts > 1 else []
+        out = None
+        for lo, hi in zip([None, *edges], [*edges, None]):
+            block = rows.where((F.col("id") > lo if lo is not None else F.lit(True)) & (F.col("id") <= hi if hi is not None else F.lit(True)))
+            found = self._block(block)
+            out = found if out is None else out.unionByName(found)
+        if out is None:
+            return self.spark.createDataFrame([], "id bigint, orig string")
+        out = keep(out)
+        wanted = bounded(keep(out.select("other", "other_stamp").distinct()))
+        names = self.names().select(F.col("id").alias("other"), F.col("stamp").alias("other_stamp"), "name").join(wanted, ["other", "other_stamp"], "left_semi").dropDuplicates(["other", "other_stamp"])
+        named = out.join(names, ["other", "other_stamp"])
+        return keep(named.select("id", F.col("name").alias("orig")))
+
+    def _block(self, block: DataFrame) -> DataFrame:
+        """The repeats of one block, whose other rows are accepted and added."""
+        import numpy as np
+
+        rows = block.select("id", "words").orderBy("id").toPandas()  # about BLOCK rows
+        ids, words = rows["id"].tolist(), [np.frombuffer(w, np.uint32) for w in rows["words"]]
+        found = self.matches(ids, words)
+        fresh = block.join(F.broadcast(found.select("id")), "id", "left_anti")
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            if held := list(batches):
+                yield among(pd.concat(held))
+
+        own = keep(fresh.select("id", "stamp", "words").repartition(1).mapInPandas(run, "id bigint, other bigint, other_stamp bigint"))
+        self.add(fresh.join(F.broadcast(own.select("id")), "id", "left_anti").repartition(max(1, len(ids) // SEGMENT)))
+        return found.unionByName(own)
+
+
+def among(rows: pd.DataFrame) -> pd.DataFrame:
+    """``id, other, other_stamp``: rows of a block that repeat an accepted smaller row of it, and that row.
+
+    Taken in order of ids: each row is compared with the accepted ones before it
+    that share enough fingerprints, those that share most first.
     """
-    want = keep(wanted(posts, posts, within=True))
-    live = keep(posts.join(bounded(keep(want.select("fp").distinct())), "fp", "left_semi").select("fp", F.col("id").alias("other")))
-    order = Window.partitionBy("fp").orderBy("other")
-    links = tested = state = None
-    limit, before = FIRST, None
-    while True:
-        ranked = keep(live.withColumn("nth", F.row_number().over(order)))
-        met = candidates(want, ranked.where(F.col("nth") <= limit + 1) if limit else ranked)
-        pairs = met.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("other")).distinct()
-        pairs = keep(pairs if tested is None else pairs.join(tested, ["id", "other"], "left_anti"))
-        new = keep(verified(pairs, texts, texts))
-        tested = pairs if tested is None else keep(tested.unionByName(pairs))
-        links = new if links is None else keep(links.unionByName(new))
-        wait = ranked.where(F.col("nth") > limit + 1).withColumnRenamed("other", "id") if limit else ranked.limit(0).withColumnRenamed("other", "id")
-        wait = keep(want.join(wait, ["id", "fp"], "left_semi").select("id").distinct())
-        state = _settled(links, wait)
-        gone = keep(state.where("not ok").select("id"))
-        left = wait.join(gone, "id", "left_anti").count()
-        if not left:
-            return state.where("not ok").select("id", F.col("orig").alias("other"))
-        if before is not None and left * 2 > before:
-            limit = None
-        before = left
-        want = keep(want.join(gone, "id", "left_anti"))
-        live = keep(live.join(gone.withColumnRenamed("id", "other"), "other", "left_anti"))
-
-
-def repeats(history: DataFrame, incoming: DataFrame) -> DataFrame:
+    import numpy as np
+
+    rows = rows.sort_values("id")
+    ids, stamps, words = rows["id"].tolist(), dict(zip(rows["id"], rows["stamp"])), [np.frombuffer(w, np.uint32) for w in rows["words"]]
+    by_id, size = dict(zip(ids, words)), np.array([len(w) for w in words], np.int64)
+    met: dict[int, list[tuple[int, int]]] = {}
+    for long in (True, False):
+        block = Block(ids, words, long)
+        sets = [marks(w, long) for w in words]
+        if not ids or not sum(map(len, sets)):
+            continue
+        for k, at, counts in block.shared(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), size):
+            for r, c in zip(at.tolist(), counts.tolist()):
+                if ids[k] < block.ids[r]:
+                    met.setdefault(block.ids[r], []).append((-c, ids[k]))
+    out, gone = [], set()
+    for i in ids:
+        for _, other in sorted(met.get(i, ())):
+            if other not in gone and alike(by_id[i], by_id[other]):
+                out.append((i, other, stamps[other]))
+                gone.add(i)
+                break
+    return pd.DataFrame(out, columns=["id", "other", "other_stamp"])
+
+
+def repeats(history: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
     """``incoming_id, orig_dialogue_id``: every incoming row that repeats an accepted conversation.
 
     ``history`` is accepted; an incoming row is accepted if it repeats neither
     history nor an accepted row of smaller ``incoming_id``. Conversations are
-    compared by their words, however spread over turns. Of several originals
-    the most alike is named, then the earliest. Rows of equal words are one
-    group each: only its first is compared and all others follow it. Rows
-    without any word repeat nothing; null turns and texts count as empty; a
-    reused ``dialogue_id`` alone is nothing. Empty tables give no rows.
+    compared by their words, however spread over turns. Any accepted original is
+    a right one: the one that shares most fingerprints is tried first. Rows of
+    equal words are one group each: only its first is compared and all others
+    follow it. Rows without any word repeat nothing; null turns and texts count
+    as empty; a reused ``dialogue_id`` alone is nothing. Empty tables give no
+    rows. The store lies below ``path`` and stays there for the next batch; by
+    default it is a new one in the shared folder.
     """
-    old = history.select(F.col("rec_id").alias("id"), F.col("dialogue_id").alias("name"), F.unix_micros(F.col("ingested_at").cast("timestamp")).alias("stamp"), conversation().alias("text"))
-    new = incoming.select(F.col("incoming_id").alias("id"), F.col("dialogue_id").alias("name"), F.col("incoming_id").cast("long").alias("stamp"), conversation().alias("text"))
-    h, n = keep(fingerprints(old)), keep(fingerprints(new))
+    spark = incoming.sparkSession
+    store = FingerprintStore(spark, path or f"{shared_folder(spark)}/fingerprints-{uuid.uuid4().hex}")
+    old = history.select(F.col("rec_id").alias("id"), F.col("dialogue_id").alias("name"), F.coalesce(F.unix_micros(F.col("ingested_at").cast("timestamp")), F.lit(LATER)).alias("stamp"), conversation().alias("text"))
+    h = keep(worded(old))
     # of equal contents the earliest stands for its copies
-    first = F.min(F.struct("stamp", "id", "name")).alias("s")
-    stands = keep(h.groupBy("content").agg(first).select("content", F.col("s.id").alias("id"), F.col("s.name").alias("orig")))
-    heads = n.groupBy("content").agg(first).select("content", F.col("s.id").alias("id"), F.col("s.name").alias("own"))
-    group = keep(heads.join(stands.select("content", "orig"), "content", "left"))
-    copies = keep(h.select("id").join(stands.select("id"), "id", "left_anti"))
-    store = keep_partitioned(postings(h.join(bounded(copies), "id", "left_anti")).select("fp", "id"))
-    del h, copies
-    release(history.sparkSession)
-    fresh = group.where(F.col("orig").isNull()).select("id")
-    texts_old = history.select(F.col("rec_id").cast("long").alias("id"), "turns")
-    texts_new = incoming.select(F.col("incoming_id").cast("long").alias("id"), "turns")
-    fresh_posts = keep_partitioned(postings(n.join(fresh, "id", "left_semi")))
-    hits = prescreened(fresh_posts, bloom_filters(store))
-    best = F.max_by("other", F.struct("ratio", -F.col("other"))).alias("other")
-    found = keep(near(hits, store, texts_new, texts_old).groupBy("id").agg(best).join(stands.select(F.col("id").alias("other"), "orig"), "other").select("id", "orig"))
-    del store, hits
-    release(history.sparkSession)
-    left_posts = fresh_posts.join(bounded(found.select("id")), "id", "left_anti")
-    own = inside(left_posts, texts_new).join(group.select(F.col("id").alias("other"), F.col("own").alias("orig")), "other").select("id", "orig")
-    judged = group.join(found.unionByName(own).withColumnRenamed("orig", "near"), "id", "left")
-    named = judged.select("content", F.col("id").alias("head"), "own", F.coalesce("orig", "near").alias("orig"))
+    first = h.groupBy("content").agg(F.min(F.struct("stamp", "id")).alias("s"), F.count("*").alias("n"))
+    copies = h.select("content", "stamp", "id").join(bounded(keep(first.where("n > 1").select("content", "s"))), "content").where(F.struct("stamp", "id") != F.col("s")).select("id")
+    store.add(h.join(bounded(keep(copies)), "id", "left_anti"))
+    return accept(store, incoming)
+
+
+def accept(store: FingerprintStore, incoming: DataFrame) -> DataFrame:
+    """The same against a store alone: ``incoming_id, orig_dialogue_id`` of the repeats; other rows are added to it."""
+    new = incoming.select(F.col("incoming_id").alias("id"), F.col("dialogue_id").alias("name"), F.lit(LATER + 1).alias("stamp"), conversation().alias("text"))
+    n = keep(worded(new))
+    first = n.groupBy("content").agg(F.min(F.struct("id", "name")).alias("s"), F.count("*").alias("n"))
+    groups = keep(first.where("n > 1").select("content", F.col("s.id").alias("head"), F.col("s.name").alias("own")))
+    followers = n.select("content", "id").join(bounded(groups), "content").where(F.col("id") != F.col("head"))
+    followers = keep(followers.select("id", "head", "own"))
+    found = store.check(n.join(bounded(followers.select("id")), "id", "left_anti"))
     # a copy follows its head: it repeats what the head repeats, or the head itself
-    rows = n.select(F.col("id").alias("incoming_id"), "content").join(named, "content").where((F.col("incoming_id") != F.col("head")) | F.col("orig").isNotNull())
-    return rows.select("incoming_id", F.coalesce("orig", "own").alias("orig_dialogue_id"))
-
-
-def _sequential(links: DataFrame) -> DataFrame:
-    """``id, other``: the accepted partner that each row repeats; accepted rows are left out."""
-    return _settled(links, links.select("id").limit(0)).where("not ok").select("id", F.col("orig").alias("other"))
-
-
-def _settled(links: DataFrame, wait: DataFrame) -> DataFrame:
-    """``id, ok, orig``: the rows of the links that are decided, and the accepted partner of each repeat.
-
-    ``links`` has ``id, other, ratio`` with other < id. A row is a repeat as
-    soon as one of its smaller partners is accepted, and accepted once all of
-    them are known to be repeats, unless it is to ``wait`` for more of them; of
-    several accepted ones it names the most alike. A crowd of like rows is
-    settled in one round by its first; more rounds are needed only for chains
-    whose ends are unlike.
-    """
-    links = keep(links.join(wait.withColumn("waits", F.lit(True)), "id", "left"))
-    first = links.select(F.col("other").alias("id")).distinct().join(links.select("id").distinct(), "id", "left_anti").join(wait, "id", "left_anti")
-    state = keep(first.select("id", F.lit(True).alias("ok"), F.lit(None).cast("long").alias("orig")))
-    while True:
-        known = links.join(state.select(F.col("id").alias("other"), "ok"), "other", "left").join(state.select("id"), "id", "left_anti")
-        now = known.groupBy("id").agg(F.count("*").alias("n"), F.count("ok").alias("k"), F.count("waits").alias("w"), F.max_by(F.when(F.col("ok"), F.col("other")), F.when(F.col("ok"), F.struct("ratio", -F.col("other")))).alias("orig")).where("n = k AND w = 0 OR orig IS NOT NULL")
-        now = keep(now.select("id", F.col("orig").isNull().alias("ok"), "orig"))
-        if now.isEmpty():
-            return state
-        state = keep(state.unionByName(now))
+    after = followers.join(found.select(F.col("id").alias("head"), "orig"), "head", "left").select("id", F.coalesce("orig", "own").alias("orig"))
+    return found.unionByName(after).select(F.col("id").alias("incoming_id"), F.col("orig").alias("orig_dialogue_id"))
