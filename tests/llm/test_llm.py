@@ -114,6 +114,25 @@ def test_repetition_in_a_group_full_of_it(dialogues):
     assert repetition.cases(dialogues(*clean, *again)).count() == 120
 
 
+def test_outliers_decide_beside_the_share(dialogues, monkeypatch):
+    """Without its distance a row is no case, however high its share."""
+    clean = [record(k, [f"first question number {k} about the place {k * 7}", f"some answer {k} with other words {k * 3} inside"]) for k in range(40)]
+    d = dialogues(*clean, record(100, ["please come and see our fine new rooms by the river today"] * 5))
+    assert repetition.cases(d).count() == 1
+    monkeypatch.setattr(repetition, "CHI2", 1e9)
+    assert repetition.cases(d).count() == 0
+
+
+def test_least_determinant_leaves_out_the_far_part():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(0, 1, (6000, 3)), rng.normal(8, 0.3, (4000, 3))])
+    m, c = repetition.least_determinant(x, np.ones(len(x)))
+    assert np.abs(m).max() < 0.2 and (np.diag(c) > 0.7).all() and (np.diag(c) < 2.2).all()  # half of all are five sixths of the near part
+    assert abs(repetition.consistency(0.5) - 2.46) < 0.02
+
+
 def test_language_of_the_whole_dialogue(dialogues):
     d = dialogues(record(1, ["The room is free and you can have it for the night. " * 45, "Das Haus ist nicht weit von der Straße und wir haben noch ein Zimmer. " * 120]))
     assert repetition.shares(d).first()["lang"] == "de"
@@ -252,6 +271,29 @@ def test_encoding_round_trip(spark):
         assert whole.decode(r["ids"]) == (t or "")
 
 
+def test_altered_runs_are_found_in_a_corpus_of_any_words():
+    import random
+
+    import numpy as np
+
+    random.seed(3)
+    vocabulary = [f"w{k}" for k in range(400)]
+    passages = [[random.choice(vocabulary) for _ in range(40)] for _ in range(30)]
+    weights = leakage.word_weights(passages)
+    column = {w: k for k, w in enumerate(sorted(weights))}
+    loadings = np.eye(len(column), dtype=np.float32)[:, : leakage.RANK]
+    loadings = np.linalg.qr(np.random.default_rng(1).standard_normal((len(column), leakage.RANK)))[0].astype(np.float32)
+    index = leakage.Index([(k, p, None) for k, p in enumerate(passages)], column, np.array([weights[w] for w in column], np.float32), loadings)
+    for length, changed in ((15, 2), (18, 3), (24, 4), (30, 5)):
+        for k, p in enumerate(passages):
+            s = random.randrange(40 - length + 1)
+            gone = random.sample(range(1, length - 1), changed)
+            run = [random.choice(["is", "my", *vocabulary]) if j in gone else w for j, w in enumerate(p[s : s + length])]
+            text = ["my", "is"] * random.randrange(20) + run + ["is"] * random.randrange(9)
+            assert leakage.contains(p, text)
+            assert k in {i for i, _, _ in index.near_items(text)}
+
+
 def test_leaks(spark):
     passage = " ".join(f"word{k} tale{k % 7}" for k in range(20))
     p = passage.split()

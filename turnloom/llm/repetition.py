@@ -1,7 +1,14 @@
-"""Repetition inside a dialogue, found as a robust multivariate outlier."""
+"""Repetition inside a dialogue, found as a robust multivariate outlier.
+
+Each dialogue becomes a vector of transformed statistics. Per language and
+source, and over all of them, a minimum covariance determinant gives a centre
+and a spread that repetitive dialogues don't move; those far out are candidates,
+and the exact share of repeated words settles them.
+"""
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -16,12 +23,14 @@ from turnloom.sources.tables import bounded, keep, parallel
 RUN = 5
 #: Share of repeated words from which a dialogue is a case; cases have 2/5 at least, others less than 3/10.
 SHARE = 0.35
-#: Part of a group on which the covariance determinant is made least, and number of concentration steps.
-H, STEPS = 0.75, 3
+#: Part of the rows on which the covariance determinant is made least, and concentration steps at most.
+H, STEPS = 0.5, 30
 #: Squared Mahalanobis distance of the 97.5 % point of chi-square with three degrees.
 CHI2 = 9.348
-#: Groups with fewer rows share the estimate of all rows.
-GROUP_LEAST = 200
+#: Width of the cells in which the estimate counts the vectors.
+CELL = 0.05
+#: Rows that the estimate over all groups counts for beside a group's own.
+PRIOR = 50
 #: Least spread of each transformed statistic: a group without any repetition has none of its own.
 FLOOR = (0.35, 0.12, 0.25)
 
@@ -81,14 +90,96 @@ def statistics(dialogues: DataFrame) -> DataFrame:
 _X = ("x1", "x2", "x3")
 
 
-def _moments(prefix: str = "") -> list[Column]:
-    return [F.avg(x).alias(f"m_{x}") for x in _X] + [(F.avg(F.col(x) * F.col(y)) - F.avg(x) * F.avg(y)).alias(f"c_{x}{y}") for i, x in enumerate(_X) for y in _X[i:]]
+def consistency(h: float) -> float:
+    """Factor by which the covariance of the inner ``h`` of a normal cloud in three dimensions is too small."""
+    inner = lambda x: math.erf(math.sqrt(x / 2)) - math.sqrt(2 * x / math.pi) * math.exp(-x / 2)
+    lo, hi = 0.0, 100.0
+    for _ in range(80):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if inner(mid) < h else (lo, mid)
+    return h / (inner(lo) - math.sqrt(2 / math.pi) * lo**1.5 * math.exp(-lo / 2) / 3)
+
+
+def least_determinant(x, n):
+    """(centre, covariance) of the H of the points ``x`` with counts ``n`` whose covariance has the least determinant.
+
+    Concentration steps from several starts, each until nothing changes: the
+    medians, the half that repeats least, the half of the middle of each
+    statistic. The result with the least determinant is taken and made
+    consistent with a normal cloud.
+    """
+    import numpy as np
+
+    floor = np.diag(np.square(FLOOR))
+    want = H * n.sum()
+
+    def inner(d):
+        order = np.argsort(d, kind="stable")
+        up = np.cumsum(n[order])
+        w = np.zeros(len(n))
+        w[order] = np.clip(want - (up - n[order]), 0, n[order])
+        return w
+
+    def moments(w):
+        m = (w[:, None] * x).sum(axis=0) / w.sum()
+        d = x - m
+        return m, (w[:, None] * d).T @ d / w.sum()
+
+    def distance(m, c):
+        d = x - m
+        return np.einsum("ij,jk,ik->i", d, np.linalg.inv(c + floor), d)
+
+    medians = []
+    for k in range(3):
+        order = np.argsort(x[:, k], kind="stable")
+        medians.append(x[order[np.searchsorted(np.cumsum(n[order]), want)], k])
+    middle = x - np.array(medians)
+    starts = [distance(np.array(medians), np.zeros((3, 3))), x[:, 0], np.abs(middle / np.array(FLOOR)).max(axis=1)]
+    best = None
+    for d in starts:
+        w = inner(d)
+        for _ in range(STEPS):
+            m, c = moments(w)
+            again = inner(distance(m, c))
+            if np.array_equal(again, w):
+                break
+            w = again
+        m, c = moments(w)
+        det = np.linalg.det(c + floor)
+        if best is None or det < best[0] - 1e-12:
+            best = (det, m, c)
+    return best[1], best[2] * consistency(H)
+
+
+_X = ("x1", "x2", "x3")
+_EST = [f"m_{x}" for x in _X] + [f"c_{x}{y}" for i, x in enumerate(_X) for y in _X[i:]]
+
+
+def estimates(stats: DataFrame) -> DataFrame:
+    """``lang, source`` and the robust centre (``m_``) and covariance (``c_``) of each group; both null for all groups.
+
+    The vectors are first counted in cells of CELL, combined before the
+    shuffle, so a group's task gets no more rows than the bounded space of
+    statistics has cells, however many dialogues it holds.
+    """
+    at = [F.round(F.col(v) / CELL).cast("int").alias(v) for v in _X]
+    cells = stats.groupBy("lang", "source", *at).agg(F.count("*").alias("n"))
+    both = keep(cells.unionByName(cells.groupBy(*_X).agg(F.sum("n").alias("n")).select(F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), *_X, "n")))
+
+    def run(key: tuple, b: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
 
+        m, c = least_determinant(b[list(_X)].to_numpy(float) * CELL, b["n"].to_numpy(float))
+        row = [*m, *(c[i, j] for i in range(3) for j in range(i, 3))]
+        return pd.DataFrame([[key[0], key[1], int(b["n"].sum()), *np.asarray(row, float)]], columns=["lang", "source", "n", *_EST])
 
-def _distance() -> Column:
-    """Squared Mahalanobis distance from the group's moments, spreads no less than the floor."""
-    c = {(i, j): F.col(f"c_{_X[min(i, j)]}{_X[max(i, j)]}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for i in range(3) for j in range(3)}
-    d = [F.col(x) - F.col(f"m_{x}") for x in _X]
+    return both.groupBy("lang", "source").applyInPandas(run, "lang string, source string, n bigint, " + ", ".join(f"{c} double" for c in _EST))
+
+
+def _distance(prefix: str) -> Column:
+    """Squared Mahalanobis distance from the moments with the prefix, spreads no less than the floor."""
+    c = {(i, j): F.col(f"{prefix}c_{_X[min(i, j)]}{_X[max(i, j)]}") + (F.lit(FLOOR[i] ** 2) if i == j else F.lit(0.0)) for i in range(3) for j in range(3)}
+    d = [F.col(x) - F.col(f"{prefix}m_{x}") for x in _X]
     minor = lambda i, j: (lambda r, s: c[r[0], s[0]] * c[r[1], s[1]] - c[r[0], s[1]] * c[r[1], s[0]])([k for k in range(3) if k != i], [k for k in range(3) if k != j])
     cof = {(i, j): minor(i, j) * ((-1) ** (i + j)) for i in range(3) for j in range(3)}
     det = sum((c[0, j] * cof[0, j] for j in range(1, 3)), c[0, 0] * cof[0, 0])
@@ -96,28 +187,19 @@ def _distance() -> Column:
 
 
 def robust_distances(stats: DataFrame) -> DataFrame:
-    """The statistics with ``d2``, the robust squared distance within their language and source.
+    """The statistics with ``d2``, the greater of two robust squared distances, and ``center``, the lower centre of x1.
 
-    Minimum covariance determinant by concentration steps over all rows: start
-    from the medians, keep the H closest of each group, take their moments, and
-    again. Each step is one pre-aggregated pass over six numbers a row; a hot
-    group costs no task more. Groups too small for an estimate use the one over
-    all rows. The closed inverse of the 3 x 3 matrix stays inside the plan.
+    The distances are from the estimate of the dialogue's language and source,
+    drawn towards that of all dialogues as if PRIOR of those were in the group,
+    and from that of all alone: where most of a group repeats, its own centre is
+    repetitive, but that of all isn't as long as most dialogues aren't.
     """
-    size = stats.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    named = F.when(F.col("n") >= GROUP_LEAST, F.concat_ws("\x01", "lang", "source")).otherwise("")
-    groups = size.select("lang", "source", named.alias("grp"))
-    x = keep(stats.join(groups, ["lang", "source"]))
-    medians = [F.percentile_approx(v, 0.5, 1000).alias(f"m_{v}") for v in _X]
-    start = [F.lit(1.0 if a == b else 0.0).alias(f"c_{a}{b}") for i, a in enumerate(_X) for b in _X[i:]]
-    # the estimate of small groups is over all rows: each row counts once for its group and once for all
-    both = x.select(*_X, F.explode(F.array_distinct(F.array("grp", F.lit("")))).alias("grp"))
-    est = both.groupBy("grp").agg(*medians, *start)
-    for _ in range(STEPS):
-        d = both.join(bounded(keep(est)), "grp").withColumn("d2", _distance())
-        cut = d.groupBy("grp").agg(F.percentile_approx("d2", H, 1000).alias("h"))
-        est = d.select("grp", "d2", *_X).join(cut, "grp").where(F.col("d2") <= F.col("h")).groupBy("grp").agg(*_moments())
-    return x.join(bounded(keep(est)), "grp").withColumn("d2", _distance()).select("rec_id", "source", "lang", "n_words", "share", *_X, F.col("m_x1").alias("center"), "d2")
+    est = keep(estimates(stats))
+    whole = est.where("lang IS NULL").first()  # one row of numbers; none of an empty table
+    of_all = {c: F.lit(whole[c] if whole else 0.0) for c in _EST}
+    own = est.where("lang IS NOT NULL").select("lang", "source", *[of_all[c].alias(f"all_{c}") for c in _EST], *[((F.col("n") * F.col(c) + PRIOR * of_all[c]) / (F.col("n") + PRIOR)).alias(f"own_{c}") for c in _EST])
+    d = stats.join(bounded(keep(own)), ["lang", "source"])
+    return d.select("rec_id", "source", "lang", "n_words", "share", *_X, F.least("own_m_x1", "all_m_x1").alias("center"), F.greatest(_distance("own_"), _distance("all_")).alias("d2"))
 
 
 def shares(dialogues: DataFrame) -> DataFrame:
@@ -132,9 +214,5 @@ def shares(dialogues: DataFrame) -> DataFrame:
 
 
 def cases(dialogues: DataFrame) -> DataFrame:
-    """``rec_id`` of the dialogues whose exact share of repeated words is high.
-
-    Whether a row is an outlier of its group does not matter: in a group full
-    of repetition none is one.
-    """
-    return statistics(dialogues).where(F.col("share") >= SHARE).select("rec_id")
+    """``rec_id`` of the dialogues that are outliers on the side of repetition and whose exact share is high."""
+    return shares(dialogues).where(F.col("outlier") & (F.col("share") >= SHARE)).select("rec_id")
