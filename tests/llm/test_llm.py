@@ -67,6 +67,28 @@ def test_cut_values(dialogues):
     assert {r["field"]: r["n_cut"] for r in truncation.rates(d).collect()} == {"text": 1, "context": 1}
 
 
+def test_the_posterior_decides(dialogues):
+    """The same ending is a cut at its source's limit and none elsewhere; without whole-looking cuts nothing changes."""
+    texts = [("We were told that the house by the river is open to " + "guest" * 20)[:90] for _ in range(80)]
+    listed = "Your options with breakfast and all the other things that you wanted to have are:\n- a 12"
+    assert len(listed) < 91
+    at = listed + "x" * (90 - len(listed))
+    full = [record(k, [t], model="cuts") for k, t in enumerate(texts)] + [record(100 + k, [at], model="cuts") for k in range(12)]
+    whole = [record(200 + k, [f"The house number {k} is open{' all day' * (k % 9)}."], model=m) for k in range(400) for m in ("cuts", "free")]
+    free = [record(900, [at], model="free")]
+    d = dialogues(*full, *whole, *free)
+    end = truncation.classified(truncation.values(d)).where("rec_id = 900").first()["end"]
+    assert end == "closed"
+    found = {r["rec_id"] for r in truncation.cut_values(d).collect()}
+    assert found == {*range(80), *range(100, 112)}
+
+
+def test_open_endings_are_whole_where_all_values_end_so(dialogues):
+    """Among writers who set no marks an open ending says nothing."""
+    d = dialogues(*[record(k, [f"We would like to see the houses of number {k} on Monday {'and so on ' * (k % 7)}{'o' * (k % 61)}Kerby"]) for k in range(300)], *[record(500 + k, ["They went into the li..."]) for k in range(3)])
+    assert {r["rec_id"] for r in truncation.cut_values(d).collect()} == {500, 501, 502}
+
+
 def test_pair_defects(dialogues):
     d = dialogues(record(1, ["x"], pairs=[
         ("Is there a room for us?", None), ("Is there a room?", "N/A"), ("Is there a room for the two of us?", "You asked: is there a room for the two of us"), ("Can you book it?", "I regret to say I can't assist with this kind of request."),
@@ -81,6 +103,35 @@ def test_pushdown_parser():
     assert pairs.unclosed('see (the "list') == ["(", '"'] and pairs.unclosed("```py\nx = (") == ["```"] and pairs.unclosed("fine :)") == [] and pairs.unclosed("a\n- b\n-") == ["item"]
 
 
+def test_tiles_against_the_definition():
+    import random
+
+    def plain(a, b, least):
+        a, b, covered = list(a), list(b), 0
+        while True:
+            best = max(((k, -i, -j) for i in range(len(a)) for j in range(len(b)) for k in [next((k for k in range(min(len(a) - i, len(b) - j) + 1) if k == min(len(a) - i, len(b) - j) or a[i + k] != b[j + k]), 0)]), default=(0, 0, 0))
+            if best[0] < least:
+                return covered
+            k, i, j = best[0], -best[1], -best[2]
+            covered += k
+            a[i : i + k], b[j : j + k] = [object() for _ in range(k)], [object() for _ in range(k)]
+
+    random.seed(5)
+    for n in range(120):
+        a, b = ([random.choice("abcdefgh"[: 2 + n % 7]) for _ in range(random.randint(0, 25))] for _ in "ab")
+        got, want = pairs.tiles(a, b), plain(a, b, 2)
+        assert got == want, (a, b)
+    long = [f"w{random.randrange(900)}" for _ in range(6000)]
+    assert pairs.tiles(long, long[3000:] + long[:3000]) == 6000
+
+
+def test_open_structures_make_answers_truncated(dialogues, monkeypatch):
+    d = dialogues(record(1, ["x"], pairs=[("What does it cost?", "Here is the list (with breakfast. The room is nice."), ("And the code?", "Here it is:\n```py\nprint(1)."), ("How wide is it?", 'It is 12" wide.')]))
+    assert rows_of(pairs.defects(d)) == [(1, 0, "truncated"), (1, 1, "truncated")]
+    monkeypatch.setattr(pairs, "unclosed", lambda text: [])
+    assert pairs.defects(d).count() == 0
+
+
 def test_tiling_and_language():
     assert pairs.tiles("a b c d e".split(), "x c d e a b".split()) == 5
     assert langid.language("Das Haus ist nicht weit von der Straße")[0] == "de" and langid.language("Из города нужно ехать")[0] == "CYRILLIC" and langid.language(None) == ("", 0.0)

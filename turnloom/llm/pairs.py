@@ -10,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.llm import truncation
-from turnloom.llm.incremental import lcs
 from turnloom.llm.langid import language
 from turnloom.sources.tables import keep, parallel
 
@@ -18,8 +17,6 @@ from turnloom.sources.tables import keep, parallel
 TILE = 2
 #: Shares of the question's and of the answer's words in tiles from which an answer is a copy.
 COPIED_QUESTION, COPIED_ANSWER = 0.7, 0.65
-#: Product of two lengths in words up to which tiles are laid.
-TILED = 4_000_000
 #: Evidence (weighted function words) from which a language is taken as known: question, answer.
 KNOWN_QUESTION, KNOWN_ANSWER = 0.5, 1.0
 
@@ -34,7 +31,8 @@ def unclosed(text: str) -> list[str]:
 
     A pushdown parser: an opener is pushed and its closer pops it together with
     whatever was left open inside. Inside a code fence only the fence counts.
-    A list marker without an item at the end is left open as well.
+    A list marker without an item at the end is left open as well; a straight
+    quotation mark behind a digit is an inch.
     """
     stack: list[str] = []
     text = _EMOTICON.sub(" ", text)
@@ -57,7 +55,7 @@ def unclosed(text: str) -> list[str]:
             opener = _OPEN[_CLOSE.index(c)]
             if opener in stack:
                 del stack[len(stack) - 1 - stack[::-1].index(opener):]
-        elif c == '"':
+        elif c == '"' and ('"' in stack or not text[i - 1 : i].isdigit()):
             if '"' in stack:
                 del stack[stack.index('"'):]
             else:
@@ -86,29 +84,69 @@ def words(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower().replace("'", "").replace("’", ""))
 
 
+_PRIME, _BASE = (1 << 61) - 1, 1_000_003
+
+
 def tiles(a: list[str], b: list[str], least: int = TILE) -> int:
-    """Words of ``a`` covered by greedy string tiling with ``b``: longest common runs first, none used twice."""
-    used_a, used_b, covered = [False] * len(a), [False] * len(b), 0
-    where: dict[str, list[int]] = {}
-    for j, w in enumerate(b):
-        where.setdefault(w, []).append(j)
-    while True:
-        best, at = least - 1, None
-        for i, w in enumerate(a):
-            if used_a[i]:
+    """Words of ``a`` covered by greedy string tiling with ``b``: longest common runs first, none used twice.
+
+    All tiles of one length are laid in one sweep from the left over rolling
+    hashes of the runs that are still free; the next length is found by
+    bisection. Lengths fall, and so many different ones can't fit, so the work
+    is about n to the power of 1.5 at worst.
+    """
+    ids: dict[str, int] = {}
+    sides = []
+    for ws in (a, b):
+        h = [0]
+        for w in ws:
+            h.append((h[-1] * _BASE + ids.setdefault(w, len(ids) + 1)) % _PRIME)
+        sides.append((len(ws), h, [False] * len(ws)))
+    power = [1]
+    for _ in range(max(len(a), len(b))):
+        power.append(power[-1] * _BASE % _PRIME)
+
+    def runs(side: int, size: int) -> Iterator[tuple[int, int]]:
+        """(start, hash) of the free runs of a length."""
+        n, h, used = sides[side]
+        free = 0
+        for end in range(n):
+            free = 0 if used[end] else free + 1
+            if free >= size:
+                yield end - size + 1, (h[end + 1] - h[end - size + 1] * power[size]) % _PRIME
+
+    def common(size: int) -> bool:
+        held = {x for _, x in runs(1, size)}
+        return bool(held) and any(x in held for _, x in runs(0, size))
+
+    covered, most = 0, min(len(a), len(b))
+    while most >= least:
+        lo, hi = least - 1, most  # a common run of lo words exists, none of more than hi
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if common(mid) else (lo, mid - 1)
+        if lo < least:
+            break
+        where: dict[int, list[int]] = {}
+        for j, x in runs(1, lo):
+            where.setdefault(x, []).append(j)
+        for js in where.values():
+            js.reverse()
+        used_a, used_b, clear = sides[0][2], sides[1][2], 0
+        for i, x in list(runs(0, lo)):
+            if i < clear:
                 continue
-            for j in where.get(w, ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and not used_a[i + k] and not used_b[j + k] and a[i + k] == b[j + k]:
-                    k += 1
-                if k > best:
-                    best, at = k, (i, j)
-        if at is None:
-            return covered
-        i, j = at
-        used_a[i : i + best] = [True] * best
-        used_b[j : j + best] = [True] * best
-        covered += best
+            js = where.get(x, [])
+            while js and any(used_b[js[-1] : js[-1] + lo]):
+                js.pop()
+            if js:
+                j = js.pop()
+                used_a[i : i + lo] = used_b[j : j + lo] = [True] * lo
+                covered, clear = covered + lo, i + lo
+        most = lo
+        if not common(lo):
+            most -= 1
+    return covered
 
 
 def copied(question: str, answer: str) -> bool:
@@ -123,8 +161,7 @@ def copied(question: str, answer: str) -> bool:
         return False
     if len(q) == len(a) and sum(x == y for x, y in zip(q, a)) >= COPIED_QUESTION * len(q):
         return True
-    # very long texts: the common subsequence bounds the tiles from above in far less time
-    covered = tiles(q, a) if len(q) * len(a) <= TILED else lcs(q, a)
+    covered = tiles(q, a)
     return covered >= COPIED_QUESTION * len(q) and covered >= COPIED_ANSWER * len(a)
 
 
@@ -163,52 +200,45 @@ def refused(answer: str) -> bool:
     return bool(REFUSAL.search(text)) and not _OFFER.search(text)
 
 
-def _empty(end: str, answer: str | None) -> bool:
-    return answer is None or (end == "none" and not re.search(r"[\U0001F300-\U0001FAFF☀-➿]", answer))
-
-
 def judged(dialogues: DataFrame) -> DataFrame:
-    """``rec_id, pos, source, length, end, found, stack``: each pair with what Python sees in it.
+    """``rec_id, pos, source, length, end, found, stack``: each pair with what is seen in it alone.
 
     ``found`` is ``empty, copy, refusal, other_language`` or an empty string;
     ``stack`` counts structures left open. Null elements of ``pipeline_turns``
-    are pairs without an answer.
+    are pairs without an answer. A question that shows no language is taken to
+    be in that of all questions of its dialogue.
     """
-    answers = F.transform("pipeline_turns", lambda p: p["support_response"])
-    rows = dialogues.where(F.size("pipeline_turns") > 0).select("rec_id", F.coalesce(F.col("metadata.model_version"), F.lit("")).alias("source"), F.transform("pipeline_turns", lambda p: p["user_response"]).alias("questions"), answers.alias("answers"))
-    flat = parallel(rows).select("rec_id", "source", F.array_join("questions", "\n").alias("all_questions"), F.posexplode(F.arrays_zip("questions", "answers")).alias("pos", "qa")).select("rec_id", "source", "pos", "all_questions", F.col("qa.questions").alias("question"), F.col("qa.answers").alias("answer"))
-    flat = flat.withColumn("end", truncation.ending(F.col("answer"))).withColumn("length", F.length("answer"))
+    texts = lambda name: F.transform("pipeline_turns", lambda p: p[name])
+    rows = dialogues.where(F.size("pipeline_turns") > 0).select("rec_id", F.coalesce(F.col("metadata.model_version"), F.lit("")).alias("source"), texts("user_response").alias("questions"), texts("support_response").alias("answers"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found, depth, last, spoken = [], [], None, ("", 0.0)
-            for rec, whole, q, a, end in zip(b["rec_id"], b["all_questions"], b["question"], b["answer"], b["end"]):
-                a = a if isinstance(a, str) else None
-                q = q if isinstance(q, str) else ""
-                kind, open_ = "", 0
-                if _empty(end, a):
-                    kind = "empty"
-                else:
-                    open_ = len(unclosed(a))
-                    if copied(q, a):
-                        kind = "copy"
-                    elif refused(a):
-                        kind = "refusal"
-                    else:
-                        la = language(a)
-                        if la[1] >= KNOWN_ANSWER and len(words(a)) >= 4:
-                            lq = language(q)
-                            if lq[1] < KNOWN_QUESTION:
-                                if rec != last:
-                                    last, spoken = rec, language(whole)
-                                lq = spoken
-                            if lq[1] >= KNOWN_QUESTION and lq[0] != la[0]:
-                                kind = "other_language"
-                found.append(kind)
-                depth.append(open_)
-            yield pd.DataFrame({"rec_id": b["rec_id"], "pos": b["pos"], "source": b["source"], "length": b["length"], "end": b["end"], "found": found, "stack": depth})
-
-    return flat.mapInPandas(run, "rec_id bigint, pos int, source string, length int, end string, found string, stack int")
+            out = []
+            for rec, source, questions, answers in zip(b["rec_id"], b["source"], b["questions"], b["answers"]):
+                spoken = None
+                for pos, (q, a) in enumerate(zip(questions, answers)):
+                    q, kind, open_ = q or "", "", 0
+                    if a is not None:
+                        open_ = len(unclosed(a))
+                        if copied(q, a):
+                            kind = "copy"
+                        elif refused(a):
+                            kind = "refusal"
+                        else:
+                            la = language(a)
+                            if la[1] >= KNOWN_ANSWER and len(words(a)) >= 4:
+                                lq = language(q)
+                                if lq[1] < KNOWN_QUESTION:
+                                    spoken = spoken or language("\n".join(x for x in questions if x))
+                                    lq = spoken
+                                if lq[1] >= KNOWN_QUESTION and lq[0] != la[0]:
+                                    kind = "other_language"
+                    out.append((rec, pos, source, a, kind, open_))
+            yield pd.DataFrame(out, columns=["rec_id", "pos", "source", "answer", "found", "stack"])
+
+    seen = parallel(rows).mapInPandas(run, "rec_id bigint, pos int, source string, answer string, found string, stack int").withColumn("end", truncation.ending(F.col("answer")))
+    empty = F.col("answer").isNull() | ((F.col("end") == "none") & ~F.regexp_like("answer", F.lit(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]")))
+    return seen.select("rec_id", "pos", "source", F.length("answer").alias("length"), "end", F.when(empty, "empty").otherwise(F.col("found")).alias("found"), "stack")
 
 
 def defects(dialogues: DataFrame) -> DataFrame:
@@ -217,14 +247,13 @@ def defects(dialogues: DataFrame) -> DataFrame:
     In this order: ``empty``, ``copy``, ``refusal``, ``truncated``,
     ``other_language``. The answer is truncated as in the truncation operator
     (limits fitted on the answers of each model version), where a structure
-    left open counts as an open ending. The fallback mark is not looked at:
+    left open makes the ending open, even behind a sentence mark. The fallback mark is not looked at:
     canned texts and the mark alone are no defects. Whole texts are judged,
     repeated records each give their rows, empty input gives none.
     """
     seen = keep(judged(dialogues))
-    ends = seen.where(F.col("length").isNotNull()).select("source", F.lit("text").alias("field"), "length", "end")
-    at = truncation.limits(ends).select("source", "length", "posterior")
-    end = F.when((F.col("stack") > 0) & (F.col("end") == "closed"), "open").otherwise(F.col("end"))
-    cut = truncation.log_odds(end, F.col("posterior")) > 0
-    defect = F.when(F.col("found").isin("empty", "copy", "refusal"), F.col("found")).when(cut, "truncated").when(F.col("found") == "other_language", "other_language")
-    return seen.join(at, ["source", "length"], "left").withColumn("defect", defect).where(F.col("defect").isNotNull()).select("rec_id", "pos", "defect")
+    end = F.when((F.col("stack") > 0) & F.col("end").isin("closed", "complete"), "open").otherwise(F.col("end"))
+    ends = seen.where(F.col("length").isNotNull()).withColumn("end", end).withColumn("field", F.lit("text"))
+    at = truncation.scored(ends).unionByName(seen.where(F.col("length").isNull()), allowMissingColumns=True)
+    defect = F.when(F.col("found").isin("empty", "copy", "refusal"), F.col("found")).when(F.col("odds") > 0, "truncated").when(F.col("found") == "other_language", "other_language")
+    return at.withColumn("defect", defect).where(F.col("defect").isNotNull()).select("rec_id", "pos", "defect")

@@ -2,8 +2,9 @@
 
 For each source a right-censored length distribution is fitted by maximum
 likelihood, and each candidate limit gets the posterior that a value of that
-length was censored there. This is combined with the evidence of the value's
-own ending into one score.
+length was censored there. This is the prior of the value; what its own ending
+says for or against a cut is learned from all values (how often cut and whole
+values end so), and both together decide.
 """
 
 from __future__ import annotations
@@ -14,12 +15,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnloom.sources.tables import EDGE, keep
+from turnloom.sources.tables import EDGE, bounded, keep
 
-#: Log odds of each class of ending; fixed values.
-EVIDENCE = {"none": -99.0, "complete": -99.0, "closed": -6.0, "open": 3.0, "broken": 9.0}
-#: Log odds of a cut in mid-transfer, for values at no limit, and the most that a limit adds.
-ELSEWHERE, LIMIT_MOST = -2.0, 4.0
+#: Classes of endings that may be cut, and shares of them among cut and among whole values from which learning starts.
+CLASSES, CUT_START, WHOLE_START = ("closed", "open", "broken"), (0.02, 0.6, 0.38), (0.07, 0.002, 0.0005)
+#: Share of values cut at no limit from which learning starts and most of it, rounds of learning, and how many cut and whole values
+#: the starting shares stand for beside those seen.
+ELSEWHERE, RARE, ROUNDS, PRIOR_CUT, PRIOR_WHOLE = 0.01, 0.1, 50, 5.0, 100.0
+#: Chance up to which as many open endings at one length as there are may be chance, for the length to be a candidate limit.
+CHANCE = 1e-6
 #: Last words with which messages end without a mark; fixed values.
 CLOSERS = "please|thanks|thank you|thx|ty|cheers|if possible|possible|see you|see you then|bye|good|ok|okay|great|fine|perfect|same as before|sure|yes|no|gracias|por favor|merci|svp|danke|bitte|tschüss|adiós"
 #: Hesitations that may end in three dots; fixed values.
@@ -108,6 +112,14 @@ def values(dialogues: DataFrame) -> DataFrame:
     return flat.select("rec_id", "source", "v.field", "v.pos", "v.text").where(F.col("text").isNotNull())
 
 
+def _tail(k, rate):
+    """Chance of k or more events at a Poisson rate, bounded from above."""
+    import numpy as np
+
+    k, rate = np.maximum(k, 1e-9), np.maximum(rate, 1e-9)
+    return np.where(k > rate, np.exp(np.minimum(0, k - rate + k * np.log(rate / k))), 1.0)
+
+
 def fit_limits(lengths: pd.DataFrame) -> list[tuple[int, float]]:
     """(limit, posterior of censoring) from the columns ``length, n, n_cut`` of one source and field.
 
@@ -124,7 +136,7 @@ def fit_limits(lengths: pd.DataFrame) -> list[tuple[int, float]]:
     x, n, cut = (lengths[c].to_numpy(float) for c in ("length", "n", "n_cut"))
     total, limits = n.sum(), []
     near = np.array([cut[np.abs(x - v) <= 5].sum() - c for v, c in zip(x, cut)]) / 10.0
-    for k in np.flatnonzero((cut >= 5) & (cut > 6 * (near + 0.5))):
+    for k in np.flatnonzero((cut > near) & (_tail(cut, near + 0.1) < CHANCE)):
         limit, y = x[k], np.log(x)
         seen = n.copy()
         seen[k] -= cut[k]
@@ -164,11 +176,49 @@ def limits(ends: DataFrame) -> DataFrame:
     return hist.groupBy("source", "field").applyInPandas(run, "source string, field string, length int, posterior double")
 
 
-def log_odds(end: Column, posterior: Column) -> Column:
-    """Ending evidence and censoring posterior together; above 0 is a cut."""
-    e = F.create_map(*[F.lit(x) for kv in EVIDENCE.items() for x in kv])[end]
-    p = F.log(posterior / (1 - posterior))
-    return e + F.when(posterior.isNotNull(), F.greatest(F.lit(ELSEWHERE), F.least(F.lit(LIMIT_MOST), p))).otherwise(ELSEWHERE)
+def learned(counts: list[tuple[float | None, str, float]]) -> tuple[dict[str, float], dict[str, float]]:
+    """What each class of ending adds to the log odds of a limit, and its log odds at no limit.
+
+    From ``(posterior or None, class, n)`` by expectation and maximisation over
+    the ways a value comes to its ending: cut at a limit (the posterior of its
+    length is the prior), cut elsewhere, or whole. Values that end completely
+    are whole by definition, and at most RARE of the others are cut at no limit:
+    where more end openly, that is how whole values end there. The starting
+    shares count as some values more, so that few rows decide nothing alone.
+    """
+    start, plain = dict(zip(CLASSES, CUT_START)), dict(zip(CLASSES, WHOLE_START))
+    at, off, whole, rate = start, start, plain, ELSEWHERE
+    total = sum(n for _, _, n in counts)
+    for _ in range(ROUNDS):
+        a, o, w = ({e: n * x for e, x in kind.items()} for n, kind in ((PRIOR_CUT, start), (PRIOR_CUT, start), (PRIOR_WHOLE, plain)))
+        away, gone = PRIOR_WHOLE, PRIOR_WHOLE * ELSEWHERE
+        for p, e, n in counts:
+            prior, cut, seen = (rate, off, o) if p is None else (min(max(p, 0.001), 0.999), at, a)
+            r = prior * cut[e] / (prior * cut[e] + (1 - prior) * whole[e]) if e in cut else 0.0
+            if e in cut:
+                seen[e] += n * r
+                w[e] += n * (1 - r)
+            if p is None:
+                away, gone = away + n, gone + n * r
+        at, off = ({e: x / sum(c.values()) for e, x in c.items()} for c in (a, o))
+        whole = {e: x / (PRIOR_WHOLE + 2 * PRIOR_CUT + total - sum(a.values()) - sum(o.values())) for e, x in w.items()}
+        rate = min(RARE, gone / away)
+    return {e: math.log(at[e] / whole[e]) for e in CLASSES}, {e: math.log(rate * off[e] / ((1 - rate) * whole[e])) for e in CLASSES}
+
+
+def scored(ends: DataFrame) -> DataFrame:
+    """The frame ``source, field, length, end, ...`` with ``posterior`` (null at no limit) and ``odds``; above 0 is a cut.
+
+    Learning sees counts by class and posterior in steps of a hundredth only,
+    at most some hundred rows, whatever the number of values and sources.
+    """
+    at = ends.join(bounded(keep(limits(ends))), ["source", "field", "length"], "left")
+    step = F.round("posterior", 2)
+    counts = at.where(F.col("end") != "none").groupBy(step.alias("p"), "end").agg(F.count("*").alias("n")).collect()
+    adds, away = learned([(r["p"], r["end"], float(r["n"])) for r in counts])
+    says = lambda d: F.create_map(*[F.lit(x) for kv in d.items() for x in kv])[F.col("end")]
+    p = F.greatest(F.lit(0.001), F.least(F.lit(0.999), F.col("posterior")))
+    return at.withColumn("odds", F.when(F.col("posterior").isNull(), says(away)).otherwise(F.log(p / (1 - p)) + says(adds)))
 
 
 def cut_values(dialogues: DataFrame) -> DataFrame:
@@ -179,19 +229,12 @@ def cut_values(dialogues: DataFrame) -> DataFrame:
     records each give their own rows, and whole values are judged at any
     length. Empty input gives no rows.
     """
-    ends = keep(classified(values(dialogues)))
-    return _cut(ends)
-
-
-def _cut(ends: DataFrame) -> DataFrame:
-    at = ends.where(F.col("end").isin("open", "broken", "closed")).join(limits(ends), ["source", "field", "length"], "left")
-    return at.where(log_odds(F.col("end"), F.col("posterior")) > 0)
+    return scored(keep(classified(values(dialogues)))).where("odds > 0").drop("odds")
 
 
 def rates(dialogues: DataFrame) -> DataFrame:
     """``model_version, field, n_values, n_cut, share_cut, limit_at``: how often each source cuts."""
-    ends = keep(classified(values(dialogues)))
-    cut = _cut(ends).groupBy("source", "field").agg(F.count("*").alias("n_cut"), F.max_by("length", F.when(F.col("posterior") > 0.5, F.col("posterior"))).alias("at"), F.max("posterior").alias("p"))
-    all_of = ends.where(F.col("end") != "none").groupBy("source", "field").agg(F.count("*").alias("n_values"))
-    return all_of.join(cut, ["source", "field"], "left").select(
-        F.col("source").alias("model_version"), "field", "n_values", F.coalesce("n_cut", F.lit(0)).alias("n_cut"), (F.coalesce("n_cut", F.lit(0)) / F.col("n_values")).alias("share_cut"), F.when(F.col("p") > 0.5, F.col("at")).alias("limit_at"))
+    all_of = scored(keep(classified(values(dialogues)))).where(F.col("end") != "none")
+    cut = F.coalesce(F.col("odds") > 0, F.lit(False))
+    out = all_of.groupBy("source", "field").agg(F.count("*").alias("n_values"), F.count_if(cut).alias("n_cut"), F.max_by("length", F.when(cut & (F.col("posterior") > 0.5), F.col("posterior"))).alias("limit_at"))
+    return out.select(F.col("source").alias("model_version"), "field", "n_values", "n_cut", (F.col("n_cut") / F.col("n_values")).alias("share_cut"), "limit_at")
