@@ -42,13 +42,25 @@ def test_nested_children(dialogues):
         record(1, ["a", ..., "b"], plans={0: "p", 2: "  "}, facts={0: ["x", None, " ", "y"]}, assessed=(" D1 ", None, None, None, None)),
         record(2, None, assessed=(None, None, None, None, None)), record(3, []), record(1, ["a"], plans={0: "p"}),
     ).withColumn("child", F.lit("clash"))
-    got = sorted(tuple(r) for r in nested.bridge(rows).select("child", "rec_id", "pos", "item").collect())
+    got = sorted(tuple(r) for r in nested.children(rows).select("child", "rec_id", "pos", "item").collect())
     assert got == [("assessment", 1, 0, 0), ("assessment_broken", 2, 0, 0), ("plan", 1, 0, 0), ("plan", 1, 0, 0), ("user_fact", 1, 0, 0), ("user_fact", 1, 0, 3)]
     stored = {r["body"]: r["n_occurrences"] for r in nested.objects(nested.bridge(rows)).collect()}
-    assert stored['{"kind":"plan","value":"p"}'] == 2
+    assert stored["plan|1:p"] == 2
     assert nested.bridge(rows.limit(0)).count() == 0
 
 
+def test_every_parent_is_a_stored_object(dialogues):
+    rows = dialogues(record(1, ["a", ..., "b"], plans={0: "p"}, facts={0: ["x", None], 1: None}, assessed=("d1", None, 0.5, None, None), score=float("nan")), record(2, None), record(3, ["a"], plans={0: "p"}), record(4, ["a"], plans={0: "p"}, name="d3"))
+    b = nested.bridge(rows)
+    held = nested.objects(b).select(F.col("node_id").alias("parent_id"))
+    assert b.where("parent_id IS NOT NULL").join(held, "parent_id", "left_anti").count() == 0
+    assert b.where("child <> 'record' AND parent_id IS NULL").count() == 0
+    of = {r["rec_id"]: r["node_id"] for r in b.where("child = 'record'").collect()}
+    assert of[3] == of[4] and len(set(of.values())) == 3  # stored twice, one identity
+    bodies = {r["node_id"]: r["body"] for r in b.collect()}
+    assert all(k == __import__("hashlib").sha256(v.encode()).hexdigest() for k, v in bodies.items())
+
+
 def test_text_functions(spark):
     df = spark.createDataFrame([(" A  b\na ", "b c"), ("", "")], "x string, y string")
     got = df.select(text.clean(F.col("x")), text.jaccard(text.pieces(F.col("x")), text.pieces(F.col("y"))), text.truncate(F.lit("abcdefgh"), 6), text.head_and_tail(F.lit("a b c d e"), 4, 1), text.score_in(F.lit("is 4.")), text.json_object(F.lit('so ```json {"a": 1}``` x')).cast("string")).collect()
