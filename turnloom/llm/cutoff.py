@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from turnloom.sources.tables import keep, strip
+from turnloom.sources.tables import bounded, keep, strip
 
-#: Cells in which one narrowing step counts; two steps part scores that differ by 2**-24 of the range.
-CELLS = 4096
+#: Cells in which one narrowing step counts; two steps part scores that differ by 2**-32.
+CELLS = 65_536
 
 
 def source_of(domain: Column) -> Column:
@@ -23,10 +23,6 @@ def valid_score(score: Column) -> Column:
     return F.when(~F.isnan(s) & s.between(0.0, 1.0), s)
 
 
-def _cell(score: Column, lo: Column, width: Column) -> Column:
-    return F.least(F.floor((score - lo) / width * CELLS), F.lit(CELLS - 1)).cast("int")
-
-
 def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, keep_percent, n_scored, cutoff, n_kept`` for each source with a target.
 
@@ -43,25 +39,24 @@ def cutoffs(rows: DataFrame, targets: DataFrame) -> DataFrame:
     """
     hist = keep(rows.where(F.col("score").isNotNull()).groupBy("source", "score").agg(F.count("*").alias("n")))
     goals = targets.where(F.col("source").isNotNull() & F.col("keep_percent").isNotNull()).groupBy("source").agg(F.max("keep_percent").alias("keep_percent"))
-    totals = hist.groupBy("source").agg(F.sum("n").alias("n_scored"), F.min("score").alias("lo"), F.max("score").alias("hi"))
-    part = totals.join(goals, "source").select(
-        "source", "keep_percent", "n_scored", "lo", (F.col("hi") - F.col("lo") + F.lit(1e-12)).alias("width"),
-        F.ceil(F.col("n_scored") * F.col("keep_percent") / 100.0).alias("need"), F.lit(0).cast("long").alias("above"),
-    )
-    inside = hist
+    need = F.ceil(F.col("n_scored") * F.col("keep_percent") / 100.0)
+    totals = hist.groupBy("source").agg(F.sum("n").alias("n_scored")).join(F.broadcast(goals), "source")
+    # one row per source: the cell that holds the wanted position, and the rows above it
+    at = keep(totals.select("source", "keep_percent", "n_scored", need.alias("need"), F.lit(0).cast("long").alias("above"), F.lit(0.0).alias("low"), F.lit(1.0).alias("width")))
+    down = lambda c: Window.partitionBy("source").orderBy(F.desc(c)).rowsBetween(Window.unboundedPreceding, 0)
+    cell = F.least(F.floor((F.col("score") - F.col("low")) / F.col("width") * CELLS), F.lit(CELLS - 1)).cast("int")
+    inside = F.col("score").between(F.col("low"), F.col("low") + F.col("width"))
     for _ in range(2):
-        at = inside.join(part, "source").withColumn("cell", _cell(F.col("score"), F.col("lo"), F.col("width")))
-        down = Window.partitionBy("source").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)
-        cells = at.groupBy("source", "cell").agg(F.sum("n").alias("m")).withColumn("cum", F.sum("m").over(down))
-        hit = (
-            cells.join(part, "source").where((F.col("above") + F.col("cum") - F.col("m") < F.col("need")) & (F.col("above") + F.col("cum") >= F.col("need")))
-            .select("source", "keep_percent", "n_scored", "need", (F.col("above") + F.col("cum") - F.col("m")).alias("above"), (F.col("lo") + F.col("cell") * F.col("width") / CELLS).alias("lo_next"), (F.col("width") / CELLS).alias("width_next"), F.col("cell").alias("hit_cell"), "lo", "width")
-        )
-        chosen = hit.select("source", "hit_cell", F.col("lo").alias("lo0"), F.col("width").alias("width0"))
-        inside = inside.join(chosen, "source").where(_cell(F.col("score"), F.col("lo0"), F.col("width0")) == F.col("hit_cell")).select("source", "score", "n")
-        part = hit.select("source", "keep_percent", "n_scored", F.col("lo_next").alias("lo"), F.col("width_next").alias("width"), "need", "above")
-    down = Window.partitionBy("source").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("cum", F.sum("n").over(down)).join(part, "source").withColumn("n_kept", F.col("above") + F.col("cum")).where(F.col("n_kept") >= F.col("need"))
+        cells = hist.join(bounded(at), "source").where(inside & (cell >= 0)).groupBy(*at.columns, cell.alias("cell")).agg(F.sum("n").alias("m"))
+        cum = cells.withColumn("upto", F.col("above") + F.sum("m").over(down("cell")))
+        hit = cum.where((F.col("upto") >= F.col("need")) & (F.col("upto") - F.col("m") < F.col("need")))
+        at = keep(hit.select("source", "keep_percent", "n_scored", "need", (F.col("upto") - F.col("m")).alias("above"), (F.col("low") + F.col("cell") * F.col("width") / CELLS).alias("low"), (F.col("width") / CELLS).alias("width")))
+    # a score on an edge may have been counted in the next cell, so the last step looks a little beyond the cell and counts what lies above by itself
+    edge = F.col("width") * 1e-3
+    near = hist.join(bounded(at), "source").where(F.col("score").between(F.col("low") - edge, F.col("low") + F.col("width") + edge))
+    top = near.groupBy("source").agg(F.max("score").alias("top"))
+    over = hist.join(bounded(keep(top)), "source").groupBy("source").agg(F.coalesce(F.sum(F.when(F.col("score") > F.col("top"), F.col("n"))), F.lit(0)).alias("over"))
+    last = near.join(bounded(keep(over)), "source").withColumn("n_kept", F.col("over") + F.sum("n").over(down("score"))).where(F.col("n_kept") >= F.col("need"))
     return last.groupBy("source", "keep_percent", "n_scored").agg(F.max("score").alias("cutoff"), F.min("n_kept").alias("n_kept"))
 
 
