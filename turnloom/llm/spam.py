@@ -1,4 +1,9 @@
-"""Keyword-stuffed pages, link lists and tag lists: bagged trees on weak labels, smoothed by host."""
+"""Keyword-stuffed pages, link lists and tag lists: bagged trees on weak labels, smoothed by host.
+
+Weak labels come from the share of words outside sentences, where it is plain.
+The trees never see that share: they learn from the page's words, marks and
+links, and judge pages whose lines are hard to tell as well.
+"""
 
 from __future__ import annotations
 
@@ -20,7 +25,7 @@ SURE_SPAM, SURE_PROSE = 0.75, 0.25
 #: Trees, their depth, and the weight of a page's own score beside its host's rate.
 TREES, DEPTH, OWN = 20, 5, 0.8
 #: Smoothed score from which a page is a candidate, and share of words outside sentences that makes it a case.
-CANDIDATE, CASE = 0.3, 0.5
+CANDIDATE, CASE = 0.5, 0.5
 #: Pages a host needs for its rate to count as its own; fewer are drawn towards the rate of all.
 HOST_PRIOR = 20
 
@@ -42,51 +47,73 @@ _STEP = re.compile(r"^\s*(?:step\s+)?\d{1,2}[.):]\s+\S", re.I)
 _TAGS = re.compile(r"^\W*(?:tags?|tagged|labels?|keywords?|filed under|schlagwörter|schlagworte|étiquettes?|mots[- ]clés|etiquetas?|palabras clave|topics?|categories)\b\s*[:\-–—]", re.I)
 
 
-def pieces(text: str) -> Iterator[tuple[str, str, int]]:
-    """(kind, piece, words) over the lines and sentences of a text.
+_DIGIT = re.compile(r"\d")
+_LINES = re.compile(r"[\r\n]+")
+_MARKS = re.compile(r"[.!?](?=\s|$)")
+_SEPARATORS = re.compile(r"[,;|·/•]|\s-\s")
+_HOSTED = re.compile(r"//|www\.|\.(?:example|com|org|net|info|biz)\b", re.I)
+_is_function = _FUNCTION.__contains__
+
+
+def pieces(text: str) -> Iterator[tuple[str, list[str], int, int, int]]:
+    """(kind, words, count, links, hashes) over the lines and sentences of a text.
 
     Kinds: ``prose`` sentences, ``data`` rows of timetables, price lists,
     glossaries and steps, ``link`` addresses with their labels, ``tag`` words
-    behind a tag mark, ``key`` words that form no sentence.
+    behind a tag mark, ``key`` words that form no sentence. Addresses and hash
+    tags come as pieces of their own without words. Patterns that need a
+    certain character are tried only where it stands.
     """
-    for line in re.split(r"[\r\n]+", text):
+    for line in _LINES.split(text):
         line = line.strip()
         if not line:
             continue
-        anchors = len(_ANCHOR.findall(line)) if "<" in line else 0
-        plain = _MARKUP.sub(" ", line) if "<" in line else line
-        links = anchors + len(_URL.findall(plain))
-        plain = _URL.sub(" ", plain) if links else plain
-        tags = len(_HASH.findall(plain))
-        if tags:
-            yield "tag", line, tags
-            plain = _HASH.sub(" ", plain)
+        anchors, plain = 0, line
+        if "<" in line:
+            anchors, plain = len(_ANCHOR.findall(line)), _MARKUP.sub(" ", line)
+        links = anchors
+        if "." in plain or "//" in plain:
+            if _HOSTED.search(plain):
+                plain, n = _URL.subn(" ", plain)
+                links += n
+            elif links:
+                plain = _URL.sub(" ", plain)
+        if "#" in plain:
+            plain, tags = _HASH.subn(" ", plain)
+            if tags:
+                yield "tag", [], tags, 0, tags
         tagged = bool(_TAGS.match(plain))
         for k, piece in enumerate(_PIECE.split(plain)):
             ws = _WORD.findall(piece)
             if not ws:
                 continue
             n = len(ws)
-            function = sum(w in _FUNCTION for w in map(str.lower, ws))
+            lows = [w.lower() for w in ws]
+            function = sum(map(_is_function, lows))
+            digits = _DIGIT.search(piece)
             if tagged and k == 0:
-                yield "tag", piece, n
-            elif _TIMED.search(piece) or (_PRICED.search(piece) and n <= 14 and not links):
-                yield "data", piece, n
-            elif _SPEAKER.match(piece) or (_END.search(piece) and n >= 3 and function >= max(1, 0.05 * n)) or (n >= 6 and function >= 0.25 * n) or (n >= 10 and function >= 0.1 * n and len({w.lower() for w in ws}) >= 0.7 * n):
-                yield "prose", piece, n
-            elif _TERM.match(piece) and function >= 0.15 * n and not links:
-                yield "data", piece, n
-            elif _STEP.match(piece) and function:
-                yield "data", piece, n
-            elif not ws[0].isascii() and not any(c.isascii() and c.isalpha() for c in piece) and max(piece) > "ʯ":
-                yield "data", piece, n
+                kind = "tag"
+            elif digits and (_TIMED.search(piece) or (n <= 14 and not links and _PRICED.search(piece))):
+                kind = "data"
+            elif (
+                (n >= 3 and function >= max(1, 0.05 * n) and _END.search(piece)) or (n >= 6 and function >= 0.25 * n)
+                or (n >= 10 and function >= 0.1 * n and len(set(lows)) >= 0.7 * n) or (":" in piece and _SPEAKER.match(piece))
+            ):
+                kind = "prose"
+            elif not links and function >= 0.15 * n and _TERM.match(piece):
+                kind = "data"
+            elif digits and function and _STEP.match(piece):
+                kind = "data"
+            elif not ws[0].isascii() and max(piece) > "ʯ" and not any(c.isascii() and c.isalpha() for c in piece):
+                kind = "data"
             else:
-                yield "link" if links else "key", piece, n
+                kind = "link" if links else "key"
+            yield kind, ws, n, 0, 0
         if links:
-            yield "link", line, links
+            yield "link", [], links, links, 0
 
 
-FEATURES = ("sentences", "function", "marks", "variety", "top_word", "links", "hashes", "separators", "digits", "line_words", "timed", "capitals", "piece_words", "bigrams", "log_words")
+FEATURES = ("function", "marks", "variety", "top_word", "links", "hashes", "separators", "digits", "line_words", "rows", "capitals", "piece_words", "bigrams", "log_words")
 
 
 def measures(text: str | None) -> tuple[float, int, list[float]]:
@@ -94,36 +121,36 @@ def measures(text: str | None) -> tuple[float, int, list[float]]:
     if not text or not text.strip():
         return 0.0, 0, [0.0] * len(FEATURES)
     counts: Counter = Counter()
-    parts = 0
-    short_first = 0
-    for kind, piece, n in pieces(text):
+    ws: list[str] = []
+    parts = short_first = links = hashes = rows = 0
+    for kind, own, n, l, h in pieces(text):
         if parts == 0 and kind == "key" and n <= 8 and "\n" in text:
             short_first = n
         counts[kind] += n
         parts += 1
+        links, hashes, rows = links + l, hashes + h, rows + (kind == "data")
+        ws += own
     total = sum(counts.values())
     if short_first and counts["prose"] + counts["data"] > 0:
         counts["key"] -= short_first
     outside = counts["key"] + counts["link"] + counts["tag"]
-    ws = [w.lower() for w in _WORD.findall(text)]
-    n = max(1, len(ws))
-    lines = [x for x in re.split(r"[\r\n]+", text) if x.strip()] or [""]
-    pairs = Counter(zip(ws, ws[1:]))
+    lows = [w.lower() for w in ws]
+    seen = Counter(lows)
+    n, lines = max(1, total), max(1, text.count("\n") + 1)
     features = [
-        1 - outside / total if total else 1.0,
-        sum(w in _FUNCTION for w in ws) / n,
-        len(re.findall(r"[.!?](?:\s|$)", text)) / n,
-        len(set(ws)) / n**0.5,
-        Counter(ws).most_common(1)[0][1] / n if ws else 0.0,
-        len(_URL.findall(text)) / n,
-        len(_HASH.findall(text)) / n,
-        len(re.findall(r"[,;|·/•]|\s-\s", text)) / n,
-        sum(w[0].isdigit() for w in ws) / n,
-        n / len(lines),
-        sum(bool(_TIMED.search(x) or _PRICED.search(x)) for x in lines) / len(lines),
-        sum(w[0].isupper() for w in _WORD.findall(text)) / n,
+        sum(map(_is_function, lows)) / n,
+        len(_MARKS.findall(text)) / n,
+        len(seen) / n**0.5,
+        max(seen.values(), default=0) / n,
+        links / n,
+        hashes / n,
+        len(_SEPARATORS.findall(text)) / n,
+        sum(map(str.isdigit, lows)) / n,
+        n / lines,
+        rows / max(1, parts),
+        sum(map(str.istitle, ws)) / n,
         n / max(1, parts),
-        sum(c - 1 for c in pairs.values()) / n,
+        (max(0, len(lows) - 1) - len(set(zip(lows, lows[1:])))) / n,
         float(len(str(n))),
     ]
     return outside / total if total else 0.0, total, features
