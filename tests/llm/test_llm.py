@@ -30,6 +30,15 @@ def test_cutoffs_against_brute_force(spark):
     assert cutoff.kept(rows, cuts).count() == sum(n for _, n in want.values())
 
 
+def test_cutoffs_on_edges_and_close_scores(spark):
+    close = [0.3 + k * 1e-13 for k in range(40)] + [k / 65536 for k in range(0, 65537, 4096)] + [0.0, 1.0, 1.0]
+    rows = spark.createDataFrame([("s", x) for x in close], "source string, score double")
+    for percent in (1, 7, 33, 50, 81, 100):
+        r = cutoff.cutoffs(rows, spark.createDataFrame([("s", percent)], "source string, keep_percent int")).first()
+        cut = next(c for c in sorted(set(close), reverse=True) if sum(x >= c for x in close) * 100 >= percent * len(close))
+        assert (r["cutoff"], r["n_kept"]) == (cut, sum(x >= cut for x in close))
+
+
 def test_valid_scores(spark):
     df = spark.createDataFrame([(" Hotel\t", 1.0), (None, float("nan")), ("", 1.5), ("x", None), ("x", -0.1)], "d string, s double")
     got = df.select(cutoff.source_of(F.col("d")), cutoff.valid_score(F.col("s"))).collect()
@@ -85,8 +94,8 @@ def test_the_posterior_decides(dialogues):
 
 def test_open_endings_are_whole_where_all_values_end_so(dialogues):
     """Among writers who set no marks an open ending says nothing."""
-    d = dialogues(*[record(k, [f"We would like to see the houses of number {k} on Monday {'and so on ' * (k % 7)}{'o' * (k % 61)}Kerby"]) for k in range(300)], *[record(500 + k, ["They went into the li..."]) for k in range(3)])
-    assert {r["rec_id"] for r in truncation.cut_values(d).collect()} == {500, 501, 502}
+    d = dialogues(*[record(k, [f"We would like to see the houses of number {k} on Monday {'and so on ' * (k % 7)}{'o' * (k % 61)}Kerby"]) for k in range(3000)], *[record(5000 + k, ["They went into the li..."]) for k in range(3)])
+    assert {r["rec_id"] for r in truncation.cut_values(d).collect()} == {5000, 5001, 5002}
 
 
 def test_pair_defects(dialogues):
@@ -366,6 +375,17 @@ def test_spam(spark):
     assert spam.found(spark.createDataFrame([], "doc_id bigint, text string, source string")).count() == 0
 
 
+def test_trees_judge_without_the_share_that_makes_labels(spark):
+    """Pages whose lines look like keywords are left alone where the trees see sentences without marks."""
+    assert "sentences" not in spam.FEATURES
+    prose = "The clinic near the harbour takes walk-ins before noon and the driver asks for your ticket at the gate. "
+    docs = [(k, prose * (1 + k % 4), "h") for k in range(60)] + [(100 + k, "cheap hotel best hotel deals vip luxury cheap hotel spa " * (3 + k % 3), "s") for k in range(40)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    by = {r["doc_id"]: r for r in spam.scored(df).collect()}
+    assert all(by[k]["own"] < 0.5 for k in range(60)) and all(by[100 + k]["own"] > 0.5 for k in range(40))
+    assert by[100]["score"] != by[100]["own"] or by[100]["own"] == 1.0
+
+
 def test_very_long_texts(spark, dialogues):
     passage = " ".join(f"word{k} tale{k % 7}" for k in range(20))
     filler = " ".join(f"f{k % 997}" for k in range(30_000))

@@ -21,7 +21,7 @@ from turnloom.sources.tables import EDGE, bounded, keep
 CLASSES, CUT_START, WHOLE_START = ("closed", "open", "broken"), (0.02, 0.6, 0.38), (0.07, 0.002, 0.0005)
 #: Share of values cut at no limit from which learning starts and most of it, rounds of learning, and how many cut and whole values
 #: the starting shares stand for beside those seen.
-ELSEWHERE, RARE, ROUNDS, PRIOR_CUT, PRIOR_WHOLE = 0.01, 0.1, 50, 5.0, 100.0
+ELSEWHERE, RARE, ROUNDS, PRIOR_CUT, PRIOR_WHOLE = 0.01, 0.1, 50, 5.0, 2000.0
 #: Chance up to which as many open endings at one length as there are may be chance, for the length to be a candidate limit.
 CHANCE = 1e-6
 #: Last words with which messages end without a mark; fixed values.
