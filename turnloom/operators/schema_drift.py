@@ -13,12 +13,13 @@ import json
 import math
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from turnloom.sources.tables import keep, parallel
 
@@ -28,23 +29,23 @@ BUCKETS = 256
 ALIKE = 0.5
 
 
-def leaves(value, path: str = "") -> Iterator[tuple[str, object]]:
-    """(path, value) of all leaves; arrays of objects are walked through, others are leaves."""
+def leaves(value, path: str = "", many: bool = False) -> Iterator[tuple[str, object, bool]]:
+    """(path, value, whether it lies inside an array of objects) of all leaves; arrays of objects are walked through."""
     if isinstance(value, dict):
         for k, v in value.items():
-            yield from leaves(v, f"{path}.{k}" if path else k)
+            yield from leaves(v, f"{path}.{k}" if path else k, many)
     elif isinstance(value, list) and any(isinstance(v, (dict, list)) for v in value):
         for v in value:
             if isinstance(v, (dict, list)):
-                yield from leaves(v, path)
+                yield from leaves(v, path, True)
             else:
-                yield path, v
+                yield path, v, True
     elif path:
-        yield path, value
+        yield path, value, many
 
 
 def type_of(value) -> str:
-    """Type name of a leaf; ``null`` says nothing about the type."""
+    """Type name of a leaf; ``null`` and ``nothing`` (an empty array) may stand for any content."""
     if value is None:
         return "null"
     if isinstance(value, bool):
@@ -53,7 +54,9 @@ def type_of(value) -> str:
         return "integer"
     if isinstance(value, float):
         return "number"
-    return "array" if isinstance(value, list) else "string"
+    if isinstance(value, list):
+        return "array" if value else "nothing"
+    return "string"
 
 
 _NUMBER = re.compile(r"^-?\d+(\.\d+)?$")
@@ -84,12 +87,22 @@ def shapes(value) -> list[str]:
     return [f"w:{w}" for w in re.findall(r"\w+", text)]
 
 
-def _bucket(shape: str) -> int:
-    return zlib.crc32(shape.encode()) % BUCKETS
+def _buckets(value, known: dict) -> list[int]:
+    """The content buckets of a value's shapes, remembered for short texts and numbers."""
+    key = (type(value), value) if isinstance(value, (str, int, float)) and len(str(value)) < 80 else None
+    if key is not None and key in known:
+        return known[key]
+    got = [zlib.crc32(s.encode()) % BUCKETS for s in shapes(value)]
+    if key is not None:
+        if len(known) > 100_000:
+            known.clear()
+        known[key] = got
+    return got
 
 
 def inventory(records: DataFrame) -> DataFrame:
-    """Counts by ``feed, file_name, written_at, path, kind, slot``: types (slot -1) and content buckets.
+    """Counts by ``feed, file_name, written_at, path, kind, slot``: types (slot -1), content buckets, and paths inside
+    arrays of objects (``many``).
 
     Counted inside each batch before anything is shuffled, so a feed with a
     third of all lines weighs no more than its number of files and paths.
@@ -97,9 +110,11 @@ def inventory(records: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict = {}
         for batch in batches:
             types: Counter = Counter()
             content: Counter = Counter()
+            wide: set = set()
             for feed, name, at, raw in zip(batch["feed"], batch["file_name"], batch["written_at"], batch["raw"]):
                 try:
                     record = json.loads(raw)
@@ -107,11 +122,13 @@ def inventory(records: DataFrame) -> DataFrame:
                     continue
                 if not isinstance(record, dict):
                     continue
-                for path, value in leaves(record):
+                for path, value, many in leaves(record):
                     types[feed, name, at, path, type_of(value)] += 1
-                    for s in shapes(value):
-                        content[path, _bucket(s)] += 1
-            rows = [(*k, -1, n) for k, n in types.items()] + [(None, None, None, path, "content", slot, n) for (path, slot), n in content.items()]
+                    for bucket in _buckets(value, known):
+                        content[path, bucket] += 1
+                    if many:
+                        wide.add(path)
+            rows = [(*k, -1, n) for k, n in types.items()] + [(None, None, None, path, "content", slot, n) for (path, slot), n in content.items()] + [(None, None, None, path, "many", -2, 1) for path in wide]
             yield pd.DataFrame(rows, columns=["feed", "file_name", "written_at", "path", "kind", "slot", "n"]).astype({"slot": "int32", "n": "int64"})
 
     found = parallel(records.select("feed", "file_name", F.date_format("written_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("written_at"), "raw")).mapInPandas(run, "feed string, file_name string, written_at string, path string, kind string, slot int, n bigint")
@@ -123,16 +140,20 @@ def lifespans(inv: DataFrame) -> DataFrame:
 
     The type is the most frequent one; integers beside fractions are numbers.
     Paths that only ever hold null keep the type ``null``. A null, or an empty
-    array, at a place where other records have objects is no path.
+    array, at a place where records of the same feed have objects is no path.
     """
     by = ["feed", "file_name", "written_at", "path"]
+    plain = F.when(F.col("kind") == "nothing", "array").otherwise(F.col("kind"))
     types = inv.where(F.col("slot") == -1).groupBy(*by).agg(
         F.sum(F.when(F.col("kind") == "number", F.col("n"))).alias("numbers"),
-        F.max_by(F.when((F.col("kind") == "integer"), F.lit("integer")).otherwise(F.col("kind")), F.when(F.col("kind") == "null", -1).otherwise(F.col("n"))).alias("top"),
+        F.max_by(plain, F.when(F.col("kind") == "null", -2).when(F.col("kind") == "nothing", -1).otherwise(F.col("n"))).alias("top"),
+        F.bool_and(F.col("kind").isin("null", "nothing")).alias("bare"),
     )
     types = types.withColumn("type", F.when((F.col("top") == "integer") & (F.col("numbers") > 0), "number").otherwise(F.col("top")))
-    prefixes = inv.where(F.col("slot") == -1).select("path").distinct().select(F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda i: F.array_join(F.slice(F.split("path", r"\."), 1, i), ".")), lambda p: p != F.col("path"))).alias("path")).distinct()
-    real = types.join(prefixes, "path", "left_anti")
+    parts = F.split("path", r"\.")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, 1, i), "."))
+    prefixes = types.select("feed", "path").distinct().where(F.size(parts) > 1).select("feed", F.explode(above).alias("path")).distinct().withColumn("object", F.lit(True))
+    real = types.join(prefixes, ["feed", "path"], "left").where(F.col("object").isNull() | ~F.col("bare"))
     order = real.select("feed", "file_name", "written_at").distinct().withColumn("file_no", F.row_number().over(Window.partitionBy("feed").orderBy("written_at", "file_name")))
     return keep(real.join(order, ["feed", "file_name", "written_at"]).select("feed", "file_no", "file_name", "path", "type"))
 
@@ -219,32 +240,54 @@ def aliases(found: DataFrame, inv_paths: DataFrame) -> dict[str, str]:
 
 
 def consistent(records: DataFrame) -> DataFrame:
-    """``feed, file_name, line_no, path, type, value``: every leaf under its canonical name and type.
-
-    The long form of one table over all schemas: the canonical path comes from
-    the alias table, its type is the widest that any file uses (array over
-    string over number over integer), and ``value`` is the JSON text of the
-    value cast to it. ``pos`` counts the occurrences of a path within a record.
-    Sound lines only; repeated lines stay.
+    """One row per sound record: ``feed, file_name, line_no`` and one typed column per field, whatever its file called it.
+
+    Columns are the canonical paths of the alias table with ``__`` for the dots
+    (a name that stands already gets a number); their type is the widest that
+    any file uses (array over string over number over integer over boolean), and
+    values are cast to it. Fields inside arrays of objects are arrays over their
+    occurrences in order. Absent fields are null; repeated lines stay; fields
+    that never hold a value have no column. No sound line at all gives the three
+    columns alone.
     """
     inv = inventory(records.select(F.coalesce("feed", F.lit("")).alias("feed"), F.coalesce("file_name", F.lit("")).alias("file_name"), "written_at", "raw"))
     found = keep(_changes(inv))
-    types = inv.where((F.col("slot") == -1) & (F.col("kind") != "null"))
+    types = inv.where((F.col("slot") == -1) & ~F.col("kind").isin("null", "nothing"))
     alias = aliases(found, types.select("feed", "file_name", "path").distinct())
     width = ["boolean", "integer", "number", "string", "array"]
     wide: dict[str, str] = {}
     for r in types.select("path", "kind").distinct().toLocalIterator():
         c = alias.get(r["path"], r["path"])
         wide[c] = max(wide.get(c, "boolean"), r["kind"], key=width.index)
+    many = {alias.get(r["path"], r["path"]) for r in inv.where(F.col("kind") == "many").select("path").toLocalIterator()}
+    spark_type = {"boolean": T.BooleanType(), "integer": T.LongType(), "number": T.DoubleType(), "string": T.StringType(), "array": T.ArrayType(T.StringType())}
+    taken, columns = {"feed", "file_name", "line_no"}, {}
+    schema = T.StructType([T.StructField("feed", T.StringType()), T.StructField("file_name", T.StringType()), T.StructField("line_no", T.IntegerType())])
+    for c in sorted(wide):
+        name, k = c.replace(".", "__"), 2
+        while name.lower() in taken:
+            name, k = f"{c.replace('.', '__')}_{k}", k + 1
+        taken.add(name.lower())
+        columns[c] = name
+        schema.add(name, T.ArrayType(spark_type[wide[c]]) if c in many else spark_type[wide[c]])
+
+    def text(value) -> str | None:
+        return value if value is None or isinstance(value, str) else json.dumps(value, ensure_ascii=False)
 
     def cast(value, kind: str):
+        if value is None:
+            return None
         if kind == "array":
-            return value if isinstance(value, list) else [value]
-        if kind == "string" and not isinstance(value, str):
-            return json.dumps(value)
-        if kind == "number" and not isinstance(value, bool):
+            return [text(v) for v in value] if isinstance(value, list) else [text(value)]
+        if isinstance(value, list):
+            return None  # an empty array where there are scalars
+        if kind == "string":
+            return text(value)
+        if kind == "number":
             return float(value)
-        return int(value) if kind == "integer" and isinstance(value, bool) else value
+        if kind == "integer":
+            return int(value) if abs(int(value)) < 1 << 63 else None
+        return value
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -256,13 +299,17 @@ def consistent(records: DataFrame) -> DataFrame:
                     continue
                 if not isinstance(record, dict):
                     continue
-                nth: dict[str, int] = defaultdict(int)
-                for path, value in leaves(record):
+                row: dict = {"feed": feed, "file_name": name, "line_no": line}
+                for path, value, _ in leaves(record):
                     c = alias.get(path, path)
                     if c not in wide:
                         continue
-                    rows.append((feed, name, line, c, nth[c], wide[c], None if value is None else json.dumps(cast(value, wide[c]), ensure_ascii=False)))
-                    nth[c] += 1
-            yield pd.DataFrame(rows, columns=["feed", "file_name", "line_no", "path", "pos", "type", "value"]).astype({"pos": "int32"})
-
-    return parallel(records.select("feed", "file_name", "line_no", "raw")).mapInPandas(run, "feed string, file_name string, line_no int, path string, pos int, type string, value string")
+                    if c in many:
+                        row.setdefault(columns[c], []).append(cast(value, wide[c]))
+                    elif row.get(columns[c]) is None:
+                        row[columns[c]] = cast(value, wide[c])
+                rows.append(row)
+            # objects, so that integers beside nulls stay integers
+            yield pd.DataFrame({f.name: pd.Series([r.get(f.name) for r in rows], dtype=object) for f in schema.fields})
+
+    return parallel(records.select("feed", "file_name", "line_no", "raw")).mapInPandas(run, schema)
