@@ -92,7 +92,7 @@ def test_checks_and_failures(dialogues):
     checks = {r["rec_id"]: r for r in D.checks(d).collect()}
     assert checks[1]["length_ok"] and checks[1]["roles_ok"] and checks[1]["goal_ok"] and not checks[3]["language_ok"] and not checks[2]["roles_ok"]
     failed = {r["rec_id"]: set(r["categories"]) for r in D.failures(d).collect()}
-    assert failed[1] == {"goal_drift", "hallucinated_entities", "repeated_questions", "incoherent_transitions"} and failed[2] == set()
+    assert failed[1] == {"goal_drift", "hallucinated_entities", "repeated_questions", "incoherent_transitions"} and failed[2] == set() and "forgotten_slots" not in failed[3]
     assert {r["category"]: r["n"] for r in reports.failure_counts(D.failures(d)).collect()}["goal_drift"] == 1
     assert d.where("rec_id = 2").first()["domain"] == "unknown"
 

@@ -34,7 +34,18 @@ STOP = "a an the to of in on for and or is it at be as by not we you i are was w
 DRIFT_FIRST, DRIFT_PART, DRIFT_MOST = 0.12, 0.22, 0.35
 QUESTION_ALIKE, QUESTION_LEAST = 0.72, 12
 INCOHERENT, INCOHERENT_LEAST = 0.07, 14
-ENTITY, ENTITY_LEAST = r"[A-Z][a-z]+(?: [A-Z][a-z]+)+|[A-Z]{2,}-\d{2,}|[A-Z]{3,}\d{3,}", 8
+NAME, NAME_LEAST, CODE = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b", 8, r"\b(?:[A-Z]{2,}-\d{2,}|[A-Z]{3,}\d{3,})\b"
+SLOT_WORDS = {
+    "hotel": ["area", "price_range", "stars", "parking", "internet", "number", "check"],
+    "restaurant": ["area", "food_type", "cuisine", "price_range", "number", "time"],
+    "taxi": ["departure", "destination", "time", "number"],
+    "train": ["departure", "destination", "date", "time", "number"],
+    "attraction": ["area", "type", "opening", "date"],
+    "technical_support": ["problem", "symptom", "diagnostic", "resolution", "user"],
+}
+OTHER_SLOT_WORDS = ["relevant"]
+TASK_INTENTS = [(["book", "reserve"], ["book", "reserve", "booking", "reservation"]), (["find", "search"], ["find", "search", "looking for"]), (["information", "details"], ["information", "details", "tell me"])]
+TASK_CONFIRMED, TASK_DONE = ["yes", "confirmed", "done", "booked", "found"], ["thank", "perfect", "great", "excellent"]
 OPEN = ["?", "please", "could you", "can you", "would you", "confirm", "provide", "let me know", "proceed with", "check the", "check availability", "share the", "give me", "tell me", "send me", "book ", "reserve", "availability"]
 THANKS = ["thank you", "thanks", "perfect", "all set", "appreciate", "that's perfect", "that's all i needed"]
 GOODBYE = ["you're welcome", "glad i could", "anything else", "feel free to let me know", "feel free to ask", "if you need", "further assistance", "have a safe trip", "need any more", "any more questions"]
@@ -58,11 +69,11 @@ RULES = {
     ],
 }
 COMPLETE_LEAST, RULE_WEIGHT, BONUS = 0.72, 0.65, 0.35
-CATEGORIES = ["goal_drift", "hallucinated_entities", "repeated_questions", "incoherent_transitions"]
+CATEGORIES = ["goal_drift", "hallucinated_entities", "repeated_questions", "forgotten_slots", "incoherent_transitions", "early_task_termination"]
 
 
 def normal(dialogues: DataFrame) -> DataFrame:
-    """``rec_id, version_id, dialogue_id, goal, domain, score, context, turns``: the common form of a record.
+    """``rec_id, version_id, dialogue_id, goal, domain, model, score, context, turns``: the common form of a record.
 
     Beside them ``sets`` (role, length and word set of each turn), ``body`` (all
     texts, lower case) and ``goal_words``.
@@ -73,10 +84,17 @@ def normal(dialogues: DataFrame) -> DataFrame:
     turns = F.transform(F.filter(F.coalesce("turns", F.array()), lambda t: t.isNotNull()), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     name = F.lower(strip(F.col("domain")))
     score = F.col("metadata.quality_score")
-    base = dialogues.select("rec_id", "version_id", "dialogue_id", F.coalesce("goal", F.lit("")).alias("goal"), F.when(name.isNull() | (name == ""), "unknown").otherwise(name).alias("domain"), F.when(~F.isnan(score), score).alias("score"), F.coalesce("context", F.lit("")).alias("context"), turns.alias("turns"))
-    # columns of their own, so that an expression using one several times computes it once; unused ones are pruned
+    base = dialogues.select("rec_id", "version_id", "dialogue_id", F.coalesce("goal", F.lit("")).alias("goal"), F.when(name.isNull() | (name == ""), "unknown").otherwise(name).alias("domain"), F.coalesce("metadata.model_version", F.lit("unknown")).alias("model"), F.when(~F.isnan(score), score).alias("score"), F.coalesce("context", F.lit("")).alias("context"), turns.alias("turns"))
+    return with_sets(base)
+
+
+def with_sets(base: DataFrame) -> DataFrame:
+    """The records with ``sets``, ``body`` and ``goal_words`` computed from their turns and goal.
+
+    Columns of their own, so that an expression using one several times computes it once; unused ones are pruned.
+    """
     sets = F.transform("turns", lambda t: F.struct(t["role"].alias("role"), F.length(strip(t["text"])).alias("n"), X.pieces(t["text"]).alias("w")))
-    return base.select("*", sets.alias("sets"), F.lower(F.array_join(F.transform("turns", lambda t: t["text"]), " ")).alias("body"), X.content_words(F.col("goal"), STOP).alias("goal_words"))
+    return base.withColumns({"sets": sets, "body": F.lower(F.array_join(F.transform("turns", lambda t: t["text"]), " ")), "goal_words": X.content_words(F.col("goal"), STOP)})
 
 
 def texts(role: str | None = None) -> Column:
@@ -135,14 +153,20 @@ def checks(d: DataFrame) -> DataFrame:
 
 
 def _fulfilled() -> Column:
-    """True if within 200 characters behind an intent word of the goal a confirmation stands."""
+    """True if a word of an intent that the goal names stands in the dialogue with a confirmation close behind it.
+
+    Any word of the intent counts, not only the goal's own; close is within 200
+    characters from its first place. A goal without an intent needs thanks only.
+    """
     goal, all_ = F.lower("goal"), whole()
     out, named = F.lit(False), F.lit(False)
-    for word in [w for ws in INTENTS.values() for w in ws]:
-        at = F.instr(all_, word)
-        out = out | (goal.contains(word) & (at > 0) & X.holds_any(F.substring(all_, at, F.lit(200)), ["yes", "confirmed", "done", "booked", "found"]))
-        named = named | goal.contains(word)
-    return F.when(named, out).otherwise(X.holds_any(all_, ["thank", "perfect", "great", "excellent"]))
+    for signs, said in TASK_INTENTS:
+        asked = X.holds_any(goal, signs)
+        named = named | asked
+        for word in said:
+            at = F.instr(all_, word)
+            out = out | (asked & (at > 0) & X.holds_any(F.substring(all_, at, F.lit(200)), TASK_CONFIRMED))
+    return F.when(named, out).otherwise(X.holds_any(all_, TASK_DONE))
 
 
 def task_success() -> Column:
@@ -219,14 +243,35 @@ def drift() -> Column:
 
 
 def entities() -> Column:
-    """Names and codes in support turns that neither the goal nor any earlier turn holds; the first four."""
+    """Names and codes in support turns that neither the goal nor any earlier turn holds; the first four.
+
+    Names are two or more capitalised words of NAME_LEAST characters in all,
+    codes are of any length; of one turn names come before codes.
+    """
     def fresh(t: Column, i: Column) -> Column:
         before = F.lower(F.concat_ws(" ", "goal", F.array_join(F.transform(F.slice("turns", F.lit(1), i), lambda p: p["text"]), " ")))
-        said = F.filter(F.regexp_extract_all(t["text"], F.lit(ENTITY), F.lit(0)), lambda e: F.length(e) >= ENTITY_LEAST)
-        named = F.when(F.size(said) > 0, X.once(before, lambda b: F.filter(said, lambda e: ~b.contains(F.lower(e))))).otherwise(said)
+        names = F.filter(F.regexp_extract_all(t["text"], F.lit(NAME), F.lit(0)), lambda e: F.length(e) >= NAME_LEAST)
+        said = F.concat(names, F.regexp_extract_all(t["text"], F.lit(CODE), F.lit(0)))
+        named = X.once(said, lambda s: F.when(F.size(s) > 0, X.once(before, lambda b: F.filter(s, lambda e: ~b.contains(F.lower(e))))).otherwise(s))
         return F.when(t["role"] == "SupportBot", named).otherwise(F.array().cast("array<string>"))
 
-    return F.slice(F.array_distinct(F.flatten(F.transform("turns", fresh))), 1, 4)
+    return F.slice(F.flatten(F.transform("turns", fresh)), 1, 4)
+
+
+def forgotten_slots() -> Column:
+    """Slot words of the domain that the goal holds and no turn does; the first six."""
+    words = F.lit(None).cast("array<string>")
+    for name, ws in SLOT_WORDS.items():
+        words = F.when(F.col("domain") == name, F.array(*map(F.lit, ws))).otherwise(words)
+    words = F.coalesce(words, F.array(*map(F.lit, OTHER_SLOT_WORDS)))
+    goal = F.lower("goal")
+    return F.slice(F.filter(words, lambda w: goal.contains(w) & ~F.col("body").contains(w)), 1, 6)
+
+
+def early_termination() -> Column:
+    """True if the last user turn closes the dialogue though its goal is not complete by the rules."""
+    last = F.get(F.reverse(F.filter("turns", lambda t: t["role"] == "User")), F.lit(0))["text"]
+    return F.coalesce(X.holds_any(F.lower(last), CLOSING), F.lit(False)) & ~rule_completion()["complete"]
 
 
 def repeated_question() -> Column:
@@ -243,10 +288,16 @@ def incoherent() -> Column:
     return F.slice(F.filter(pairs, lambda i: i.isNotNull()), 1, 8)
 
 
+def spoken(d: DataFrame) -> DataFrame:
+    """The records with the turns of user and support only."""
+    keep = lambda t: t["role"].isin("User", "SupportBot")
+    return with_sets(d.withColumn("turns", F.filter("turns", keep)))
+
+
 def failures(d: DataFrame) -> DataFrame:
     """``rec_id, domain, categories``: the failures of each dialogue in their fixed order."""
-    tests = [drift(), F.size(entities()) > 0, repeated_question(), F.size(incoherent()) > 0]
-    return d.select("rec_id", "domain", F.filter(F.array(*[F.when(t, name) for t, name in zip(tests, CATEGORIES)]), lambda c: c.isNotNull()).alias("categories"))
+    tests = [drift(), F.size(entities()) > 0, repeated_question(), F.size(forgotten_slots()) > 0, F.size(incoherent()) > 0, early_termination()]
+    return spoken(d).select("rec_id", "domain", F.filter(F.array(*[F.when(t, name) for t, name in zip(tests, CATEGORIES)]), lambda c: c.isNotNull()).alias("categories"))
 
 
 def domain_of_goal(goal: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnloom.operators import dialogues as D
+from turnloom.sources.tables import keep
 
 
 def failure_counts(failures: DataFrame) -> DataFrame:
@@ -40,19 +41,35 @@ def seed_goals(goals: DataFrame, most: int) -> DataFrame:
     return first.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("first", "goal"))).where(F.col("k") <= most).select("domain", "goal", "k")
 
 
-def best_share(rows: DataFrame, share: float) -> DataFrame:
-    """The best ``share`` of the rows by score, at least one; ties by id.
+def first_rows(rows: DataFrame, order: list, wanted) -> DataFrame:
+    """The first ``wanted(total)`` rows in the given total order, however many those are.
 
-    A distributed sort with a limit: no task holds all rows.
+    Rows are sorted by ranges and kept; one count per partition then tells in
+    which one the last wanted row lies. No task holds more than its range, and
+    a run of ties is parted by the columns behind it in the order.
     """
-    return rows.orderBy(F.desc("score"), "rec_id").limit(max(1, int(rows.count() * share)))
+    at = F.monotonically_increasing_id()
+    placed = keep(rows.sort(*order)).withColumn("_part", F.shiftright(at, 33)).withColumn("_nth", at.bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect()}  # one row per partition
+    left, last = wanted(sum(counts.values())), -1
+    for part in sorted(counts):
+        last = part
+        if counts[part] >= left:
+            break
+        left -= counts[part]
+    return placed.where((F.col("_part") < last) | ((F.col("_part") == last) & (F.col("_nth") < left))).drop("_part", "_nth")
+
+
+def best_share(rows: DataFrame, share: float) -> DataFrame:
+    """The best ``share`` of the rows by score, at least one; ties by id."""
+    return first_rows(rows, [F.desc("score"), "rec_id"], lambda n: max(1, int(n * share)))
 
 
 def discard(rows: DataFrame, accepted: Column, target: float) -> DataFrame:
     """``rec_id`` of accepted rows to drop, the lowest first, until ``target`` of all rows is rejected."""
     n = rows.agg(F.count("*").alias("total"), F.count_if(F.coalesce(accepted, F.lit(False))).alias("acc")).first()
     gone = (n["total"] - n["acc"]) / n["total"] if n["total"] else target
-    return rows.where(accepted).orderBy("score", "rec_id").limit(int(n["acc"] * max(0.0, target - gone))).select("rec_id")
+    return first_rows(rows.where(accepted).select("score", "rec_id"), ["score", "rec_id"], lambda acc: int(acc * max(0.0, target - gone))).select("rec_id")
 
 
 def sound_lines(records: DataFrame) -> DataFrame:

@@ -100,13 +100,17 @@ def v19_goal_completion(spark, d):
     return _d(spark, d).select("rec_id", D.goal_completion().alias("completed"))
 
 
-_INTENTS = [w for ws in D.INTENTS.values() for w in ws]
-_CONFIRMED = " OR ".join(f"(contains(lower(goal), '{w}') AND instr(body, '{w}') > 0 AND {_any(f'substr(body, instr(body, {chr(39)}{w}{chr(39)}), 200)', ['yes', 'confirmed', 'done', 'booked', 'found'])})" for w in _INTENTS)
+# literals of its own, so that a wrong constant of the plan shows
+_CONFIRMED = " OR ".join(
+    f"({asked} AND instr(body, '{w}') > 0 AND regexp_matches(substr(body, instr(body, '{w}'), 200), 'yes|confirmed|done|booked|found'))"
+    for asked, said in (("regexp_matches(lower(goal), 'book|reserve')", ["book", "reserve", "booking", "reservation"]), ("regexp_matches(lower(goal), 'find|search')", ["find", "search", "looking for"]), ("regexp_matches(lower(goal), 'information|details')", ["information", "details", "tell me"]))
+    for w in said
+)
 
 
 @_query(f""", L AS (SELECT rec_id, lower(arg_max(text, i)) AS final FROM T WHERE role = 'User' GROUP BY rec_id)
-    SELECT D.rec_id, goal <> '' AND len(turns) > 0 AND {_any("coalesce(final, '')", D.PLEASED)} AND (len(turns) >= 4
-        OR CASE WHEN {_any('lower(goal)', _INTENTS)} THEN {_CONFIRMED} ELSE {_any('body', ['thank', 'perfect', 'great', 'excellent'])} END) AS success
+    SELECT D.rec_id, goal <> '' AND len(turns) > 0 AND regexp_matches(coalesce(final, ''), 'thank|perfect|great|excellent|good|all set|that works|that''ll work|appreciate it') AND (len(turns) >= 4
+        OR CASE WHEN regexp_matches(lower(goal), 'book|reserve|find|search|information|details') THEN {_CONFIRMED} ELSE regexp_matches(body, 'thank|perfect|great|excellent') END) AS success
     FROM D JOIN (SELECT D.rec_id, coalesce(body, '') AS body FROM D LEFT JOIN W USING (rec_id)) USING (rec_id) LEFT JOIN L USING (rec_id)""")
 def v22_task_success(spark, d):
     return _d(spark, d).select("rec_id", D.task_success().alias("success"))
@@ -160,10 +164,13 @@ def v25_goal_drift(spark, d):
     return _d(spark, d).where(D.drift()).select("rec_id")
 
 
+_NAMES, _CODES = r"regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)+\b')", r"regexp_extract_all(text, '\b(?:[A-Z]{2,}-\d{2,}|[A-Z]{3,}\d{3,})\b')"
+
+
 @_query(f""", B AS (SELECT rec_id, i, role, text, lower(concat_ws(' ', goal, coalesce(string_agg(text, ' ') OVER (PARTITION BY rec_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''))) AS earlier FROM T),
-    E AS (SELECT rec_id, i, earlier, unnest(regexp_extract_all(text, '{D.ENTITY}')) AS e, unnest(range(len(regexp_extract_all(text, '{D.ENTITY}')))) AS k FROM B WHERE role = 'SupportBot'),
-    F AS (SELECT rec_id, e, min(i * 100000 + k) AS first FROM E WHERE length(e) >= {D.ENTITY_LEAST} AND NOT contains(earlier, lower(e)) GROUP BY 1, 2)
-    SELECT rec_id, string_agg(e, '|' ORDER BY first) AS entities FROM (SELECT * FROM F QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY first) <= 4) GROUP BY 1""")
+    E0 AS (SELECT rec_id, i, earlier, list_concat(list_filter({_NAMES}, lambda e: length(e) >= 8), {_CODES}) AS said FROM B WHERE role = 'SupportBot'),
+    E AS (SELECT rec_id, i, earlier, unnest(said) AS e, generate_subscripts(said, 1) AS k FROM E0)
+    SELECT rec_id, string_agg(e, '|' ORDER BY i, k) AS entities FROM (SELECT * FROM E WHERE NOT contains(earlier, lower(e)) QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY i, k) <= 4) GROUP BY 1""")
 def v26_unknown_entities(spark, d):
     return _d(spark, d).select("rec_id", D.entities().alias("e")).where(F.size("e") > 0).select("rec_id", F.array_join("e", "|").alias("entities"))
 
@@ -174,6 +181,20 @@ def v27_repeated_questions(spark, d):
     return _d(spark, d).where(D.repeated_question()).select("rec_id")
 
 
+@_query("""SELECT D.rec_id, string_agg(w, '|' ORDER BY k) AS missing FROM (SELECT D.*, unnest(ws) AS w, generate_subscripts(ws, 1) AS k FROM (SELECT D.*, CASE domain WHEN 'hotel' THEN ['area', 'price_range', 'stars', 'parking', 'internet', 'number', 'check']
+        WHEN 'restaurant' THEN ['area', 'food_type', 'cuisine', 'price_range', 'number', 'time'] WHEN 'taxi' THEN ['departure', 'destination', 'time', 'number'] WHEN 'train' THEN ['departure', 'destination', 'date', 'time', 'number']
+        WHEN 'attraction' THEN ['area', 'type', 'opening', 'date'] WHEN 'technical_support' THEN ['problem', 'symptom', 'diagnostic', 'resolution', 'user'] ELSE ['relevant'] END AS ws FROM D) D) D LEFT JOIN W USING (rec_id)
+    WHERE contains(lower(goal), w) AND NOT contains(coalesce(body, ''), w) GROUP BY 1""")
+def v28_forgotten_slots(spark, d):
+    return D.spoken(_d(spark, d)).select("rec_id", D.forgotten_slots().alias("m")).where(F.size("m") > 0).select("rec_id", F.array_join("m", "|").alias("missing"))
+
+
+@_query(f""", L AS (SELECT rec_id, lower(arg_max(text, i)) AS final FROM T WHERE role = 'User' GROUP BY rec_id)
+    SELECT rec_id FROM L JOIN ({_SQL['v18_rule_completion']}) USING (rec_id) WHERE regexp_matches(final, 'thank|perfect|bye|that''s all|all set') AND NOT complete""")
+def v30_early_termination(spark, d):
+    return D.spoken(_d(spark, d)).where(D.early_termination()).select("rec_id")
+
+
 @_query(f"""SELECT rec_id, CAST(count(*) AS INTEGER) AS n_breaks FROM (SELECT rec_id, i FROM P WHERE la >= {D.INCOHERENT_LEAST} AND lb >= {D.INCOHERENT_LEAST} AND {_jaccard('a', 'b')} < {D.INCOHERENT}
     QUALIFY row_number() OVER (PARTITION BY rec_id ORDER BY i) <= 8) GROUP BY rec_id""")
 def v29_incoherent_transitions(spark, d):
@@ -229,7 +250,7 @@ def a8_length_metrics(spark, d):
     SELECT domain, stored, incoming, stored_turns, incoming_turns, round(CASE WHEN incoming_turns = 0 THEN 0 ELSE stored_turns / incoming_turns END, 6) AS turn_ratio
     FROM (SELECT domain, count(*) AS stored, round(avg(len(turns)), 6) AS stored_turns FROM D GROUP BY 1) JOIN R USING (domain)""")
 def a10_domain_analysis(spark, d):
-    fresh = D.normal(table(spark, d, "incoming_dialogues").select(F.col("incoming_id").alias("rec_id"), F.lit("").alias("version_id"), "dialogue_id", "goal", "domain", F.lit("").alias("context"), "turns", F.struct(F.lit(None).cast("double").alias("quality_score")).alias("metadata")))
+    fresh = D.normal(table(spark, d, "incoming_dialogues").select(F.col("incoming_id").alias("rec_id"), F.lit("").alias("version_id"), "dialogue_id", "goal", "domain", F.lit("").alias("context"), "turns", F.struct(F.lit(None).cast("double").alias("quality_score"), F.lit(None).cast("string").alias("model_version")).alias("metadata")))
     side = lambda rows, name: rows.groupBy("domain").agg(F.count("*").alias(name), _r(F.avg(F.size("turns")), f"{name}_turns"))
     return side(_d(spark, d), "stored").join(side(fresh, "incoming"), "domain").withColumn("turn_ratio", F.round(S.ratio(F.col("stored_turns"), F.col("incoming_turns")), 6))
 
@@ -293,9 +314,10 @@ def a17_wilson_by_domain(spark, d):
 
 
 @_query(f""", C AS (SELECT 'goal_drift' AS category, rec_id FROM ({_SQL['v25_goal_drift']}) UNION ALL SELECT 'hallucinated_entities', rec_id FROM ({_SQL['v26_unknown_entities']})
-    UNION ALL SELECT 'repeated_questions', rec_id FROM ({_SQL['v27_repeated_questions']}) UNION ALL SELECT 'incoherent_transitions', rec_id FROM ({_SQL['v29_incoherent_transitions']}))
+    UNION ALL SELECT 'repeated_questions', rec_id FROM ({_SQL['v27_repeated_questions']}) UNION ALL SELECT 'incoherent_transitions', rec_id FROM ({_SQL['v29_incoherent_transitions']})
+    UNION ALL SELECT 'forgotten_slots', rec_id FROM ({_SQL['v28_forgotten_slots']}) UNION ALL SELECT 'early_task_termination', rec_id FROM ({_SQL['v30_early_termination']}))
     SELECT named.category, count(C.rec_id) AS n, round(count(C.rec_id) / CAST((SELECT count(*) FROM D) AS DOUBLE), 6) AS share, round(count(C.rec_id) / CAST((SELECT count(DISTINCT rec_id) FROM C) AS DOUBLE), 6) AS share_of_failed
-    FROM (SELECT unnest({D.CATEGORIES!r}) AS category) named LEFT JOIN C ON C.category = named.category GROUP BY 1""")
+    FROM (SELECT unnest(['goal_drift', 'hallucinated_entities', 'repeated_questions', 'forgotten_slots', 'incoherent_transitions', 'early_task_termination']) AS category) named LEFT JOIN C ON C.category = named.category GROUP BY 1""")
 def a21_failure_report(spark, d):
     return reports.failure_counts(D.failures(_d(spark, d)))
 
@@ -498,10 +520,8 @@ def st_windowed_events(spark, d):
     A AS (SELECT coalesce(r.metadata.model_version, 'unknown') AS arm, G2.d1, coalesce(C.c, 0) AS c FROM dialogues r LEFT JOIN G2 USING (rec_id) LEFT JOIN C USING (rec_id))
     SELECT arm, count(*) AS n, round(avg(d1), 6) AS distinct_1, round(avg(c), 6) AS coherence FROM A GROUP BY 1""")
 def a24_arm_metrics(spark, d):
-    raw = table(spark, d, "dialogues")
-    arm = raw.select("rec_id", F.coalesce("metadata.model_version", F.lit("unknown")).alias("arm"))
     d1 = F.when(F.size(X.words(D.whole())) > 0, X.once(X.words(D.whole()), X.distinct_share))
-    rows = D.normal(raw).select("rec_id", d1.alias("d1"), D.coherence().alias("c")).join(arm, "rec_id")
+    rows = _d(spark, d).select(F.col("model").alias("arm"), d1.alias("d1"), D.coherence().alias("c"))
     return rows.groupBy("arm").agg(F.count("*").alias("n"), _r(F.avg("d1"), "distinct_1"), _r(F.avg("c"), "coherence"))
 
 
