@@ -143,20 +143,78 @@ def test_versions(spark, dialogues, tmp_path):
     v.tag("20260102", ["y"])
     assert [(r["version_id"], r["n"]) for r in v.list().collect()] == [("20260102", 2), ("20260101", 1)]
     assert [r["version_id"] for r in v.list(["y"]).collect()] == ["20260102"]
-    v.delete("20260101")
-    assert v.list().count() == 1
     merged = writers.upsert(v.load("20260101"), v.load("20260102").where("rec_id = 1"))
     assert merged.count() == 1
+    v.delete("20260101")
+    assert v.list().count() == 1 and not (tmp_path / "v" / "data" / "version_id=20260101").exists()
+    # made again with fewer rows: number, description and parent are the new ones, and tags come on top
+    v.create("20260102", D.normal(dialogues(record(7, ["c"]))), description="again", parent="20260100")
+    v.tag("20260102", ["z"])
+    r = v.list().first()
+    assert (r["n"], r["description"], r["parent"], r["tags"]) == (1, "again", "20260100", ["z"])
 
 
 def test_streamed_memory(spark, tmp_path):
-    schema = "dialogue_id string, turn_id int, role string, text string, facts array<string>"
-    spark.createDataFrame([("a", 0, "User", "x", ["f"]), ("a", 1, "User", "x", ["g"]), ("b", 0, "User", "z", None), ("a", 2, "SupportBot", "y", ["f", "h"])], schema).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    q = memory_stream.fold_turns(stream).writeStream.format("memory").queryName("folded").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(60)
-    got = {r["dialogue_id"]: (r["n_turns"], list(r["facts"])) for r in spark.table("folded").collect()}
-    assert got == {"a": (2, ["f", "h"]), "b": (1, [])}
+    import datetime
+    import random
+
+    at = lambda k: datetime.datetime(2026, 1, 1) + datetime.timedelta(minutes=k)
+    schema = "dialogue_id string, turn_id int, ts timestamp, role string, text string, facts array<string>"
+    turns = [("a", 0, at(0), "User", "x", ["f"]), ("a", 1, at(1), "User", "x", ["g"]), ("a", 2, at(2), "SupportBot", "y", ["h", "f", "h"]), ("a", 3, at(3), "User", "w", ["i"]), ("b", 0, at(1), "User", "z", None)]
+    random.seed(1)
+    random.shuffle(turns)
+    # out of order across batches, then a turn far later that moves the watermark, then one too late
+    batches = [turns[:2], turns[2:], [("c", 0, at(60), "User", "q", [])], [("a", 9, at(2), "User", "late", ["late"])], [("d", 0, at(500), "User", "q", [])], [("d", 1, at(600), "User", "r", [])]]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = memory_stream.fold_turns(stream).writeStream.foreachBatch(lambda df, n, k=k: df.write.mode("append").parquet(str(tmp_path / f"out{k}"))).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(60)
+    seen = [r for k in range(len(batches)) if (tmp_path / f"out{k}").exists() for r in spark.read.parquet(str(tmp_path / f"out{k}")).collect()]
+    best = {r["dialogue_id"]: r for r in sorted(seen, key=lambda r: (r["n_turns"], r["closed"]))}
+    assert (best["a"]["n_turns"], best["a"]["facts"]) == (3, ["f", "h", "i"]) and best["b"]["n_turns"] == 1
+    assert best["a"]["closed"] and best["b"]["closed"]
+
+
+def test_windows_of_a_real_stream(spark, tmp_path):
+    rows = [(k, f"2026-01-01 {h:02}:30:00", "t", 1.0) for k, h in enumerate([0, 0, 1, 5])]
+    spark.createDataFrame(rows, "event_id bigint, ts string, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    got = memory_stream.drained(memory_stream.windowed_events(memory_stream.as_stream(spark, str(tmp_path), "events")))
+    assert sorted((r["start"].hour, r["n"]) for r in got.collect()) == [(0, 2), (1, 1)]
+
+
+def test_written_bundles_and_uploads(spark, dialogues, tmp_path):
+    d = dialogues(record(1, ["hello", "Zig zag zog zug"], goal="cheap hotel parking downtown"), record(2, None, domain="taxi"))
+    counts = {r["category"]: r["n"] for r in writers.write_failures(d, str(tmp_path / "f")).collect()}
+    assert len(counts) == 6 and spark.read.json(str(tmp_path / "f" / "dialogues")).count() >= 1
+    assert readers.read_metrics(spark, str(tmp_path / "f" / "counts")).count() == 6
+    writers.write_store(d, str(tmp_path / "store"))
+    assert writers.clear_domain(spark, str(tmp_path / "store"), "taxi") == 1 and readers.read_store(spark, str(tmp_path / "store")).count() == 1
+    one = {"dialogue_id": "a", "goal": "g", "domain": "d", "turns": [{"role": "User", "text": "x"}]}
+    (tmp_path / "u1.json").write_text(json.dumps({"dialogues": [one, one]}))
+    (tmp_path / "u2.json").write_text(json.dumps([{**one, "turns": []}]))
+    up = readers.read_uploads(spark, [str(tmp_path / "u1.json"), str(tmp_path / "u2.json")])
+    assert up.count() == 3 and "lacks" in readers.upload_problem(up) and readers.upload_problem(up.where("size(turns) > 0")) is None
+    assert readers.upload_problem(up.limit(0)) == "no dialogues" and "more than 2" in readers.upload_problem(up, 2)
+    writers.write_object(spark, {"a": 1}, str(tmp_path / "o"))
+    assert json.loads("".join(r[0] + "\n" for r in spark.read.text(str(tmp_path / "o")).collect())) == {"a": 1}
+    writers.write_metrics(up.groupBy("domain").count(), str(tmp_path / "m"))
+    frames = [{"service": "taxi", "state": {"active_intent": "i", "slot_values": {}}}, {"service": "train", "state": {"active_intent": "i", "slot_values": {"day": ["monday"], "at": ["9"]}}}]
+    (tmp_path / "train").mkdir()
+    (tmp_path / "train" / "x.json").write_text(json.dumps([{"dialogue_id": "m", "services": ["taxi", "train"], "turns": [{"speaker": "USER", "utterance": "hi", "frames": frames}, {"speaker": "SYSTEM", "utterance": "", "frames": []}]}, {"dialogue_id": "n", "services": [], "turns": [{"speaker": "USER", "utterance": "hi"}]}]))
+    ref = readers.read_reference_corpus(spark, str(tmp_path), ["train"]).orderBy("dialogue_id").collect()
+    assert [(r["domain"], r["goal"]) for r in ref] == [("train", "at: 9; day: monday"), ("unknown", "Get help with unknown")]
+    writers.write_corpus(readers.read_reference_corpus(spark, str(tmp_path), ["train"], 1), str(tmp_path / "c"))
+    assert spark.read.json(str(tmp_path / "c" / "stats")).count() == 1
+
+
+def test_conflicts_of_slots(spark, dialogues):
+    from turnloom.operators import memory
+
+    snap = lambda slots: (None, None, slots, None)
+    row = list(record(1, ["a"], pairs=[("q", "a")] * 4))
+    row[9] = [(k, "q", "a", None, snap(s), None) for k, s in enumerate([{"hotel": {"day": "mon", "n": "2"}}, {"hotel": {"day": None}}, {"hotel": {"day": "tue"}, "taxi": None}, None])]
+    assert [tuple(r) for r in memory.conflicts(dialogues(tuple(row))).collect()] == [(1, 2, "hotel", "day", "mon", "tue")]
 
 
 def test_bounded_and_keep(spark):

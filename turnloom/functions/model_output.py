@@ -98,4 +98,5 @@ def turns_of(text: Column) -> Column:
     """Turns out of lines ``User: ...`` and ``SupportBot: ...``; null for fewer than two."""
     lines = F.filter(F.split(text, r"\n"), lambda s: F.regexp_like(s, F.lit(r"(?i)^\s*(user|supportbot)\s*:\s*\S")))
     turns = F.transform(lines, lambda s: F.struct(F.when(F.lower(strip(s)).startswith("user"), "User").otherwise("SupportBot").alias("role"), strip(F.regexp_replace(s, r"^[^:]*:", "")).alias("text")))
-    return F.when(F.size(turns) >= 2, turns)
+    spoken_ = F.filter(turns, lambda t: t["text"] != "")
+    return F.when(F.size(spoken_) >= 2, spoken_)

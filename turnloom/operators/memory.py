@@ -33,3 +33,22 @@ def fold(dialogues: DataFrame) -> DataFrame:
     slots = F.aggregate(snaps, F.create_map().cast(_SLOTS), lambda acc, m: merged(acc, F.coalesce(m["slots"], F.create_map().cast(_SLOTS))))
     flat = F.array_sort(F.flatten(F.transform(F.map_entries(slots), lambda e: F.transform(F.map_entries(e["value"]), lambda s: F.struct(e["key"].alias("domain"), s["key"].alias("slot"), s["value"].alias("value"))))))
     return dialogues.where(F.size("pipeline_turns") > 0).select("rec_id", facts("user_facts").alias("user_facts"), facts("support_facts").alias("support_facts"), F.size(flat).alias("n_slots"), F.to_json(flat).alias("slots"))
+
+
+def conflicts(dialogues: DataFrame) -> DataFrame:
+    """``rec_id, pos, domain, slot, old, new``: every slot that a snapshot gives another value than the last one had.
+
+    ``pos`` is the position in ``pipeline_turns``. Values that are null change
+    nothing, in either snapshot; slots of a null domain are left out.
+    """
+    def one(p: Column, i: Column) -> Column:
+        inner = lambda k, m: F.transform(F.map_entries(m), lambda s: F.struct(k.alias("domain"), s["key"].alias("slot"), i.alias("pos"), s["value"].alias("value")))
+        return F.flatten(F.filter(F.transform(F.map_entries(p["memory_snapshot"]["slots"]), lambda e: inner(e["key"], e["value"])), lambda x: x.isNotNull()))
+
+    given = F.flatten(F.filter(F.transform("pipeline_turns", one), lambda x: x.isNotNull()))
+    ordered = F.array_sort(F.filter(given, lambda s: s["value"].isNotNull()))
+    rows = dialogues.select("rec_id", ordered.alias("s")).where(F.size("s") > 1)
+    n = F.size("s") - 1
+    pairs = F.zip_with(F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n), lambda a, b: F.struct((a["domain"] == b["domain"]).alias("d"), (a["slot"] == b["slot"]).alias("k"), b["pos"].alias("pos"), b["domain"].alias("domain"), b["slot"].alias("slot"), a["value"].alias("old"), b["value"].alias("new")))
+    changed = F.filter(pairs, lambda p: p["d"] & p["k"] & (p["old"] != p["new"]))
+    return rows.select("rec_id", F.inline(changed)).drop("d", "k")

@@ -509,11 +509,13 @@ def a32_generation_totals(spark, d):
     return m.groupBy(F.coalesce("llm_provider", F.lit("unknown")).alias("provider")).agg(F.count("*").alias("n"), _r(F.avg("generation_time_seconds"), "mean_seconds"), _r(F.max("generation_time_seconds"), "max_seconds"), F.count_if(F.col("stop_reason") == "goal_reached").alias("reached"))
 
 
-@_query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""", ctes=False)
+# windows that the watermark, two hours behind the newest event, has closed
+@_query("""SELECT time_bucket(INTERVAL 1 hour, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events
+    WHERE time_bucket(INTERVAL 1 hour, ts) + INTERVAL 1 hour <= (SELECT max(ts) FROM events) - INTERVAL 2 hour GROUP BY 1, 2""", ctes=False)
 def st_windowed_events(spark, d):
-    from turnloom.streaming.memory_stream import windowed_events
+    from turnloom.streaming.memory_stream import as_stream, drained, windowed_events
 
-    return windowed_events(table(spark, d, "events")).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return drained(windowed_events(as_stream(spark, d, "events"))).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @_query(f""", {_BODYWORDS}, C AS (SELECT rec_id, avg({_jaccard('a', 'b')}) AS c FROM P WHERE la > 0 AND lb > 0 GROUP BY 1),
