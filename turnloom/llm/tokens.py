@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import base64
 import os
 from collections.abc import Iterator
@@ -92,11 +93,13 @@ class Encoder:
 
 
 def _pattern(folder: str) -> str:
-    """The splitting pattern stored beside the vocabulary files."""
-    scope: dict = {"__file__": os.path.join(folder, "__init__.py"), "__name__": "public_tokenizers"}
+    """The splitting pattern stored beside the vocabulary files: the text assigned to PATTERN. Nothing is run."""
     with open(os.path.join(folder, "__init__.py")) as source:
-        exec(compile(source.read(), "public_tokenizers", "exec"), scope)  # noqa: S102
-    return scope["PATTERN"]
+        tree = ast.parse(source.read())
+    for line in tree.body:
+        if isinstance(line, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in line.targets):
+            return ast.literal_eval(line.value)
+    raise ValueError(f"no splitting pattern in {folder}")
 
 
 def encode(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str = VOCABULARIES) -> DataFrame:
