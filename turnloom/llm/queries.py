@@ -83,5 +83,10 @@ _CUTS = f"""scored AS ({_SCORED}),
 def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_CUTS} SELECT rec_id FROM scored JOIN cuts USING (source) WHERE score >= cutoff",
+        # the exact definition alone
+        "p5_found": r"""WITH T AS (SELECT rec_id, string_agg(coalesce(t.text, ''), chr(10) ORDER BY i) AS body FROM (SELECT rec_id, unnest(turns) AS t, generate_subscripts(turns, 1) AS i FROM dialogues) GROUP BY 1),
+    W AS (SELECT rec_id, regexp_extract_all(lower(body), '[\p{L}\p{N}_]+') AS w FROM T), G AS (SELECT rec_id, i, array_to_string(w[i:i + 4], ' ') AS gram FROM (SELECT rec_id, w, unnest(range(1, len(w) - 3)) AS i FROM W WHERE len(w) >= 5)),
+    R AS (SELECT rec_id, i FROM G QUALIFY row_number() OVER (PARTITION BY rec_id, gram ORDER BY i) > 1), C AS (SELECT DISTINCT rec_id, i + k AS at FROM R, (SELECT unnest(range(5)) AS k))
+    SELECT rec_id FROM W JOIN (SELECT rec_id, count(*) AS n FROM C GROUP BY 1) USING (rec_id) WHERE n >= 0.35 * len(w)""",
         "p1_cutoffs": f"WITH {_CUTS} SELECT source, keep_percent, n_scored, cutoff, n_kept FROM cuts",
     }
