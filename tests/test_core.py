@@ -252,3 +252,63 @@ def test_small_statistics(spark):
     assert [stats.histogram_bins(n) for n in (0, 30, 1000)] == [8, 10, 24] and stats.z_of(0.5) == 1.96
     low, high = spark.range(1).select(*stats.normal_interval(F.lit(0.5), F.lit(100))).first()
     assert (low, high) == (pytest.approx(0.402), pytest.approx(0.598))
+
+
+def test_service_and_human_evaluation(spark, dialogues, tmp_path):
+    from turnloom.service import Service
+    from turnloom.sources import human
+
+    steps = []
+    s = Service(spark, str(tmp_path), lambda step, state: steps.append((step, state)))
+    d = dialogues(record(1, ["I want a room", "It is booked", "thanks, perfect"]), record(2, ["a b", "c d"]), record(3, None))
+    report = {r["metric"]: r for r in s.evaluate(d).collect()}
+    assert set(report) == {"distinct_1", "coherence", "n_turns", "completed", "satisfied", "heuristic"} and report["n_turns"]["n"] == 3 and steps[-1] == ("evaluate", "ends")
+    assert {r["metric"]: r["n"] for r in s.evaluate(d, latest=2).collect()}["n_turns"] == 2
+    s.versions.create("1", d)
+    s.versions.create("2", d.where("rec_id < 3"))
+    r = s.compare("1", "2").first()
+    assert (r["old_version"], r["new_version"], r["d_count"]) == ("1", "2", -1) and s.records("1", 2).count() == 2
+    s.export("1", "stories", str(tmp_path / "s"))
+    with pytest.raises(ValueError):
+        s.export("1", "nothing", str(tmp_path / "t"))
+    h = s.human
+    assert h.tasks().count() == 0
+    h.add_tasks(d.select("dialogue_id"), "ann")
+    task = h.tasks("ann").first()
+    assert h.tasks().count() == 3 and not task["done"]
+    with pytest.raises(ValueError):
+        h.annotate(task["task_id"], "ann", {"coherence": 9})
+    with pytest.raises(ValueError):
+        h.annotate("none", "ann", {"coherence": 3})
+    h.annotate(task["task_id"], "ann", {"coherence": 3, "overall": 5}, task_completed=True)
+    h.annotate(task["task_id"], "bob", {"coherence": 5})
+    assert h.tasks().where("done").count() == 1 and h.annotations(annotator_id="bob").count() == 1
+    assert [(r["n"], r["agreement"], r["std"]) for r in h.agreement().collect()] == [(2, 1.0, 1.0)]
+    assert {r["dimension"]: r["mean"] for r in h.statistics().collect()} == {"coherence": 4.0, "overall": 5.0}
+    h.export(str(tmp_path / "x"))
+    assert human.invalid({"coherence": None, "zeal": 1}) == ["unknown dimension zeal", "coherence out of range"]
+
+
+def test_merged_partials_and_decisions(spark):
+    from turnloom.operators import judging as J
+
+    rows = spark.createDataFrame([(k, float(k % 7), None if k % 5 == 0 else k * 0.5) for k in range(100)], "rec_id int, a double, b double")
+    whole = {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in J.merged_report(J.partials(rows, ["a", "b"], [])).collect()}
+    parts = {tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in J.merged_report(J.partials(rows, ["a", "b"], [(F.col("rec_id") % 9).alias("chunk")])).collect()}
+    assert whole == parts and len(whole) == 2
+    marks = spark.createDataFrame([(0.2, 3.0, 3.0, True, False), (0.2, 3.0, 3.0, False, False), (0.6, None, None, None, True), (0.2, 5.0, 5.0, True, True)], "h double, c double, o double, r boolean, f boolean")
+    args = [F.col(x) for x in "hcorf"]
+    assert [r[0] for r in marks.select(J.passes(*args)).collect()] == [True, False, True, False]
+    assert [r[0] for r in marks.select(J.passes(*args, strict=False)).collect()] == [True, True, True, False]
+    few = spark.createDataFrame([(k, "d", f"x{k}", 0.5) for k in range(3)], "rec_id bigint, domain string, dialogue_id string, score double")
+    seeds = spark.createDataFrame([("d", f"s{k}") for k in range(9)], "domain string, dialogue_id string")
+    hub = J.few_shot_hub(few, seeds, 1.0)
+    assert hub.where("seeded").count() == 5 and J.examples(hub, 2).where("not seeded").count() == 2
+
+
+def test_first_rows_by_position(spark):
+    rows = spark.range(1000).select((F.col("id") % 3).cast("double").alias("score"), F.col("id").alias("rec_id")).repartition(5)
+    for n in (0, 1, 333, 334, 999, 1000, 2000):
+        got = [tuple(r) for r in reports.first_rows(rows, [F.desc("score"), "rec_id"], lambda _: n).collect()]
+        assert sorted(got) == sorted(sorted([(float(k % 3), k) for k in range(1000)], key=lambda r: (-r[0], r[1]))[:n])
+    assert reports.first_rows(rows.limit(0), ["rec_id"], lambda n: 5).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,3 +138,27 @@ VERTICALS = {
     "customer_support": ["technical_support", "tech_support", "it_support", "customer_support", "support", "helpdesk", "billing_support"],
     "booking": ["hotel", "restaurant", "taxi", "train", "attraction", "booking", "flight", "car_rental", "event"],
 }
+
+
+def distinct_over(rows: DataFrame, extract) -> DataFrame:
+    """The rows with ``distinct_1`` of the text that ``extract()`` gives: any column expression over a record."""
+    return rows.withColumn("distinct_1", X.once(X.words(extract()), X.distinct_share))
+
+
+def scorer(f):
+    """A column function out of a Python function on two texts, run over Arrow batches; for scorers of the user's own.
+
+    The function is sent to the workers once; a text that is null is given as an empty one.
+    """
+    @F.pandas_udf("double")
+    def score(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([f(x or "", y or "") for x, y in zip(a, b)], dtype=float)
+
+    return score
+
+
+def judge_prompt(last: int) -> Column:
+    """What a judge is asked about a dialogue: its goal and its last turns."""
+    tail = F.slice("turns", F.greatest(F.size("turns") - last + 1, F.lit(1)), F.lit(last))
+    said = F.array_join(F.transform(tail, lambda t: F.concat(t["role"], F.lit(": "), t["text"])), "\n")
+    return F.concat(F.lit("Goal: "), F.col("goal"), F.lit("\nConversation:\n"), said, F.lit("\nScore from 1 to 5:"))

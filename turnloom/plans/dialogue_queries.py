@@ -492,7 +492,16 @@ def sc4_json_lines(spark, d):
     return reports.sound_lines(table(spark, d, "snapshot_records"))
 
 
-@_query()
+_FACTS = lambda name: f"""(SELECT rec_id, list(f ORDER BY o)[1:12] AS {name} FROM (SELECT rec_id, f, min(i * 100000 + k) AS o FROM (SELECT rec_id, i, unnest(m.{name}) AS f, generate_subscripts(m.{name}, 1) AS k FROM SN)
+    WHERE f IS NOT NULL AND NOT regexp_matches(f, '^ *$') GROUP BY 1, 2) GROUP BY 1)"""
+
+
+@_query(f"""WITH SN AS (SELECT rec_id, generate_subscripts(pipeline_turns, 1) AS i, unnest(pipeline_turns).memory_snapshot AS m FROM dialogues),
+    SL0 AS (SELECT rec_id, i, m.slots AS s, unnest(map_keys(m.slots)) AS dom FROM SN), SL1 AS (SELECT rec_id, i, dom, s[dom] AS v, unnest(map_keys(s[dom])) AS slot FROM SL0),
+    SL AS (SELECT rec_id, dom, slot, arg_max(v[slot], i) FILTER (v[slot] IS NOT NULL) AS x FROM SL1 GROUP BY ALL),
+    JS AS (SELECT rec_id, count(*) AS n, '[' || string_agg('{{"domain":' || to_json(dom) || ',"slot":' || to_json(slot) || CASE WHEN x IS NULL THEN '' ELSE ',"value":' || to_json(x) END || '}}', ',' ORDER BY dom, slot) || ']' AS j FROM SL GROUP BY 1)
+    SELECT d.rec_id, coalesce(user_facts, []) AS user_facts, coalesce(support_facts, []) AS support_facts, CAST(coalesce(n, 0) AS INTEGER) AS n_slots, coalesce(j, '[]') AS slots
+    FROM dialogues d LEFT JOIN {_FACTS('user_facts')} USING (rec_id) LEFT JOIN {_FACTS('support_facts')} USING (rec_id) LEFT JOIN JS USING (rec_id) WHERE len(pipeline_turns) > 0""", ctes=False)
 def st3_memory_fold(spark, d):
     return memory.fold(table(spark, d, "dialogues"))
 

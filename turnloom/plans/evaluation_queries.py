@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import model_output as O
@@ -327,6 +327,45 @@ def mp2_slot_values_said(spark, d):
     return both.select("rec_id", F.size("v").cast("long").alias("n_slots"), F.size(F.filter("v", lambda x: F.col("body").contains(F.lower(x)))).cast("long").alias("n_said"))
 
 
+@_query("""SELECT domain, status, count(*) AS n FROM (SELECT """ + _DOMAIN + """ AS domain, CASE metadata.quality_assessment.passed_filters WHEN true THEN 'accepted' WHEN false THEN 'rejected' ELSE 'pending' END AS status FROM dialogues) GROUP BY 1, 2""", ctes=False)
+def v38_status_counts(spark, d):
+    name = F.coalesce(F.nullif(F.lower(D.strip(F.col("domain"))), F.lit("")), F.lit("unknown"))
+    passed = F.col("metadata.quality_assessment.passed_filters")
+    status = F.when(passed, "accepted").when(~passed, "rejected").otherwise("pending")
+    return table(spark, d, "dialogues").groupBy(name.alias("domain"), status.alias("status")).agg(F.count("*").alias("n"))
+
+
+@_query(f"""{_REPORT.replace("SELECT metric, count(x) AS n", ", REP AS (SELECT metric, count(x) AS n", 1)}) SELECT metric, CAST(round(100 * mean) AS BIGINT) AS percent, mean >= CASE metric WHEN 'distinct_1' THEN 0.46 WHEN 'distinct_2' THEN 0.46 WHEN 'completed' THEN 0.85 ELSE 0 END AS target_met FROM REP WHERE metric <> 'n_turns'""")
+def pr25_summary_table(spark, d):
+    targets = F.create_map(*[F.lit(x) for kv in {"distinct_1": 0.46, "distinct_2": 0.46, "completed": 0.85}.items() for x in kv])  # fixed values
+    rows = a19_research_report(spark, d).where("metric <> 'n_turns'")
+    return rows.select("metric", F.round(100 * F.col("mean")).cast("long").alias("percent"), (F.col("mean") >= F.coalesce(targets[F.col("metric")], F.lit(0.0))).alias("target_met"))
+
+
+@_query(r"""SELECT domain, CAST(sum(len(list_filter(regexp_split_to_array(goal, '\s+'), lambda w: w <> ''))) AS BIGINT) AS n_tokens FROM D GROUP BY 1""")
+def x1_whitespace_tokens(spark, d):
+    return _d(spark, d).groupBy("domain").agg(F.sum(F.size(F.filter(F.split("goal", r"\s+"), lambda w: w != ""))).alias("n_tokens"))
+
+
+@_query("""SELECT domain, round(avg(CASE WHEN len(w) = 0 THEN 0 ELSE len(list_distinct(w)) / CAST(len(w) AS DOUBLE) END), 6) AS goal_distinct FROM (SELECT domain, regexp_extract_all(lower(goal), '[\\p{L}\\p{N}_]+') AS w FROM D) GROUP BY 1""")
+def u1_metric_over_extracted_text(spark, d):
+    return J.distinct_over(_d(spark, d), lambda: F.col("goal")).groupBy("domain").agg(_r(F.avg("distinct_1"), "goal_distinct"))
+
+
+@_query("""SELECT D.rec_id, round(len(list_intersect(g, b)) / CAST(greatest(len(g), 1) AS DOUBLE), 6) AS score FROM (SELECT D.rec_id, list_distinct(string_split(lower(goal), ' ')) AS g, list_distinct(string_split(coalesce(body, ''), ' ')) AS b FROM D LEFT JOIN W USING (rec_id)) D""")
+def u2_plugged_scorer(spark, d):
+    def overlap(goal: str, body: str) -> float:
+        g, b = set(goal.lower().split(" ")), set(body.split(" "))
+        return len(g & b) / max(1, len(g))
+
+    return _d(spark, d).select("rec_id", F.round(J.scorer(overlap)("goal", "body"), 6).alias("score"))
+
+
+@_query("""SELECT D.rec_id, 'Goal: ' || goal || chr(10) || 'Conversation:' || chr(10) || coalesce(s, '') || chr(10) || 'Score from 1 to 5:' AS prompt FROM D LEFT JOIN (SELECT rec_id, string_agg(role || ': ' || text, chr(10) ORDER BY i) AS s FROM T WHERE i > n - 6 GROUP BY 1) USING (rec_id)""")
+def s20_judge_prompts(spark, d):
+    return _d(spark, d).select("rec_id", J.judge_prompt(6).alias("prompt"))
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
