@@ -52,13 +52,13 @@ def bleu(reference: list[str], candidate: list[str]) -> float:
     return short * math.exp(logs)
 
 
-def best_bleu(queries: DataFrame, refs: DataFrame, most: int) -> DataFrame:
-    """``domain, goal, bleu``: the best BLEU of each query against the first ``most`` references of its domain.
+def best_bleu(queries: DataFrame, refs: DataFrame, most: int | None = None) -> DataFrame:
+    """``domain, goal, bleu``: the best BLEU of each query against the references of its domain, or its first ``most``.
 
-    The references of a domain are one array of bounded length beside each
+    The references, a fixed list, are one array per domain beside each
     query, so nothing is joined row by row. Domains without references give no row.
     """
-    first = refs.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("pos"))).where(F.col("k") <= most)
+    first = refs if most is None else refs.withColumn("k", F.row_number().over(Window.partitionBy("domain").orderBy("pos"))).where(F.col("k") <= most)
     lists = first.groupBy("domain").agg(F.collect_list("goal").alias("refs"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -481,10 +481,28 @@ def j4_nearest_seed_goal(spark, d):
     return nearest.nearest_by_tfidf(_d(spark, d).where("goal <> ''").select("domain", "goal").distinct(), refs)
 
 
-@_query()
-def j3_best_bleu(spark, d):
+_TOKENS = r"list_filter(regexp_split_to_array(lower(goal), '\s+'), lambda w: w <> '')"
+_GRAMS = lambda rows, keys: f"SELECT {keys}, n, array_to_string(w[i:i + n - 1], ' ') AS gram, count(*) AS c FROM (SELECT {keys}, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM {rows}, (SELECT unnest([1, 2, 3, 4]) AS n)) GROUP BY ALL"
+_BLEU = f""", Q AS (SELECT domain, goal, {_TOKENS} AS w FROM (SELECT DISTINCT domain, goal FROM D WHERE goal <> '')), R AS (SELECT {_DOMAIN} AS domain, pos, {_TOKENS} AS w FROM seed_goals),
+    QG AS ({_GRAMS('Q', 'domain, goal')}), RG AS ({_GRAMS('R', 'domain, pos')}), HIT AS (SELECT QG.domain, goal, pos, n, sum(least(QG.c, RG.c)) AS hit FROM QG JOIN RG USING (domain, n, gram) GROUP BY ALL),
+    PAIR AS (SELECT Q.domain, goal, pos, n, len(Q.w) AS lq, len(R.w) AS lr FROM Q JOIN R USING (domain), (SELECT unnest([1, 2, 3, 4]) AS n)),
+    EACH AS (SELECT PAIR.domain, PAIR.goal, PAIR.pos, lq, lr, sum(ln(coalesce(hit, 0.1) / greatest(1, lq - n + 1)) / 4) AS logs, max(CASE WHEN n = 1 THEN coalesce(hit, 0) ELSE 0 END) AS common FROM PAIR LEFT JOIN HIT USING (domain, goal, pos, n) GROUP BY ALL),
+    BEST AS (SELECT domain, goal, round(max(CASE WHEN common = 0 OR lq = 0 OR lr = 0 THEN 0 ELSE exp(logs) * CASE WHEN lq > lr THEN 1 ELSE exp(1 - lr / CAST(lq AS DOUBLE)) END END), 6) AS bleu FROM EACH GROUP BY 1, 2)"""
+
+
+def _bleus(spark, d) -> DataFrame:
     refs = table(spark, d, "seed_goals").select(F.lower(D.strip(F.col("domain"))).alias("domain"), "pos", "goal")
-    return nearest.best_bleu(_d(spark, d).where("goal <> ''").select("domain", "goal").distinct(), refs, 10)
+    return nearest.best_bleu(_d(spark, d).where("goal <> ''").select("domain", "goal").distinct(), refs)
+
+
+@_query(f"{_BLEU} SELECT * FROM BEST")
+def j3_best_bleu(spark, d):
+    return _bleus(spark, d)
+
+
+@_query(f"{_BLEU} SELECT coalesce(domain, '{_ALL}') AS domain, count(*) AS n, round(avg(bleu), 5) AS mean, round(stddev_pop(bleu), 5) AS std FROM BEST GROUP BY ROLLUP (domain)")
+def a5_bleu_summary(spark, d):
+    return _by_domain(_bleus(spark, d), F.count("*").alias("n"), F.round(F.avg("bleu"), 5).alias("mean"), F.round(F.stddev_pop("bleu"), 5).alias("std"))
 
 
 @_query("""SELECT feed, count(*) AS n_lines, count(*) FILTER (CASE WHEN json_valid(raw) THEN json_type(raw) = 'OBJECT' ELSE false END) AS n_sound, count(DISTINCT file_name) AS n_files FROM snapshot_records GROUP BY 1""", ctes=False)

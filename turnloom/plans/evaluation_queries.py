@@ -366,6 +366,77 @@ def s20_judge_prompts(spark, d):
     return _d(spark, d).select("rec_id", J.judge_prompt(6).alias("prompt"))
 
 
+# what a model would have answered about the last memory of a dialogue: JSON in a noisy text
+_LAST_MEMORY = """WITH L AS (SELECT rec_id, context, p.memory_snapshot AS m, p.reflection_score AS r FROM (SELECT rec_id, context, pipeline_turns[len(pipeline_turns)] AS p FROM dialogues WHERE len(pipeline_turns) > 0))"""
+_kept = lambda c: f"list_filter(list_transform(coalesce({c}, []), lambda x: {_strip('x')}), lambda x: coalesce(x, '') <> '')"
+
+
+def _answers(spark, d, **fields) -> DataFrame:
+    last = F.get("pipeline_turns", F.size("pipeline_turns") - 1)
+    rows = table(spark, d, "dialogues").where(F.size("pipeline_turns") > 0).select("rec_id", "context", last["memory_snapshot"].alias("m"), last["reflection_score"].alias("r"))
+    body = F.to_json(F.struct(*[F.expr(e).alias(n) for n, e in fields.items()]))
+    return rows.select("rec_id", F.concat(F.lit("Sure, here it is:\n```json\n"), body, F.lit("\n```")).alias("t"))
+
+
+@_query(f"{_LAST_MEMORY} SELECT rec_id, {_kept('m.user_facts')}[1:10] AS user_facts, {_kept('m.support_facts')}[1:10] AS support_facts FROM L", ctes=False)
+def jn3_facts_of_answers(spark, d):
+    return _answers(spark, d, user_facts="m.user_facts", support_facts="m.support_facts").select("rec_id", O.facts(F.col("t")).alias("f")).select("rec_id", "f.user_facts", "f.support_facts")
+
+
+@_query(f"""{_LAST_MEMORY} SELECT rec_id, array_to_string(list_filter([CASE WHEN m.unresolved_goals IS NULL THEN 'missing_subgoals' END, 'missing_missing_information', CASE WHEN r IS NULL THEN 'missing_goal_progress' END, 'missing_next_action', 'not_a_text_dialogue_state', CASE WHEN context IS NULL THEN 'missing_reasoning' END], lambda x: x IS NOT NULL), '|') AS issues FROM L""", ctes=False)
+def v32_issues_of_plans(spark, d):
+    return _answers(spark, d, subgoals="m.unresolved_goals", goal_progress="r", dialogue_state="7", reasoning="context").select("rec_id", F.array_join(O.plan_issues(F.col("t")), "|").alias("issues"))
+
+
+@_query(f"""{_LAST_MEMORY} SELECT rec_id, coalesce(len({_kept('m.unresolved_goals')}), 0) AS n_subgoals, coalesce({_strip('r')}, '') AS progress, coalesce({_strip('context')}, '') AS reasoning FROM L""", ctes=False)
+def jn4_normal_plans(spark, d):
+    p = _answers(spark, d, subgoals="m.unresolved_goals", goal_progress="r", reasoning="context").select("rec_id", O.plan(F.col("t")).alias("p"))
+    return p.select("rec_id", F.size("p.subgoals").cast("long").alias("n_subgoals"), F.col("p.goal_progress").alias("progress"), "p.reasoning")
+
+
+@_query(rf"""{_LAST_MEMORY}, X AS (SELECT rec_id, least(5, coalesce(TRY_CAST(nullif(regexp_extract(r, 'score=(\d+)', 1), '') AS DOUBLE), 0)) AS score, {_kept('m.unresolved_goals')} AS i FROM L) SELECT rec_id, score, len(i) AS n_issues, score >= 4 AND (len(i) = 0 OR score >= 5) AS accepted FROM X""", ctes=False)
+def v33_accepted_reflections(spark, d):
+    v = _answers(spark, d, score="CAST(nullif(regexp_extract(r, 'score=([0-9]+)', 1), '') AS int)", issues="m.unresolved_goals").select("rec_id", O.verdict(F.col("t")).alias("v"))
+    return v.select("rec_id", "v.score", F.size("v.issues").cast("long").alias("n_issues"), "v.accepted")
+
+
+_SEVERITY = "CASE length({x}) % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'low' WHEN 2 THEN 'odd' END"
+
+
+@_query(f"""{_LAST_MEMORY}, X AS (SELECT rec_id, {_kept('m.user_facts')}[1:8] AS f FROM (SELECT rec_id, m FROM L)), Y AS (SELECT rec_id, f, list_transform(f, lambda x: CASE length(x) % 4 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END) AS s FROM X)
+    SELECT rec_id, len(f) AS n, CASE list_max(s) WHEN 3 THEN 'high' WHEN 2 THEN 'medium' WHEN 1 THEN 'low' ELSE 'none' END AS worst FROM Y""", ctes=False)
+def a36_worst_contradictions(spark, d):
+    facts = "transform(filter(m.user_facts, x -> x IS NOT NULL), x -> regexp_replace(x, '^[\\\\s\\\\p{Z}\\\\p{C}]+|[\\\\s\\\\p{Z}\\\\p{C}]+$', ''))"
+    text = f"transform({facts}, x -> named_struct('text', x, 'severity', {_SEVERITY.format(x='x')}))"
+    c = _answers(spark, d, contradictions=text).select("rec_id", O.contradictions(F.col("t")).alias("c"))
+    return c.select("rec_id", F.size("c").cast("long").alias("n"), O.worst(F.col("c")).alias("worst"))
+
+
+@_query(f"""{_LAST_MEMORY} SELECT rec_id, {_kept('m.support_facts')}[1:12] AS milestones, CASE WHEN coalesce({_strip('context')}, '') <> '' THEN left({_strip('context')}, 4000) ELSE 'as before' END AS summary FROM L""", ctes=False)
+def jn6_milestones_and_summaries(spark, d):
+    return _answers(spark, d, milestones="m.support_facts", summary="context").select("rec_id", O.milestones(F.col("t")).alias("milestones"), O.summary(F.col("t"), F.lit("as before")).alias("summary"))
+
+
+@_query(f"""SELECT rec_id, CAST(i - 1 AS INTEGER) AS pos, {_strip('t.metadata.plan')} AS plan, {_strip('t.text')} <> '' AS replied FROM (SELECT rec_id, unnest(turns) AS t, generate_subscripts(turns, 1) AS i FROM dialogues) WHERE {_strip('t.metadata.plan')} <> '' AND t.text IS NOT NULL""", ctes=False)
+def s18_plans_and_replies(spark, d):
+    rows = table(spark, d, "dialogues").select("rec_id", F.posexplode("turns").alias("pos", "t")).where((D.strip(F.col("t.metadata.plan")) != "") & F.col("t.text").isNotNull())
+    said = rows.select("rec_id", "pos", F.col("t.text").alias("text"), O.plan_and_reply(F.concat(F.lit("plan: "), F.col("t.metadata.plan"), F.lit("\nREPLY: SupportBot: "), F.col("t.text"))).alias("p"))
+    # a reply ends with the text that was said, but for quotes around it
+    ends = F.col("text").contains(F.col("p.reply")) & (F.col("p.reply") != "")
+    return said.select("rec_id", "pos", "p.plan", ends.alias("replied"))
+
+
+@_query("""SELECT rec_id, CAST(i AS INTEGER) AS turn_id FROM T WHERE i > n - 3""")
+def st6_live_turns(spark, d):
+    last = F.slice(F.transform("turns", lambda t, i: F.struct((i + 1).alias("turn_id"))), F.greatest(F.size("turns") - 2, F.lit(1)), F.lit(3))
+    return _d(spark, d).select("rec_id", F.inline(last))
+
+
+@_query("""SELECT rec_id, score FROM D WHERE score >= 0.7 ORDER BY rec_id LIMIT 100""")
+def t4_first_accepted(spark, d):
+    return _d(spark, d).where("score >= 0.7").select("rec_id", "score").orderBy("rec_id").limit(100)
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
