@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from turnloom.functions.text import once
 from turnloom.sources.tables import EDGE, bounded, keep
 
 #: Classes of endings that may be cut, and shares of them among cut and among whole values from which learning starts.
@@ -51,11 +52,15 @@ def ending(text: Column) -> Column:
 
 
 def _ending(text: Column) -> Column:
-    """The class of an ending that is not plainly complete."""
-    s = F.regexp_replace(text, EDGE, "")
-    base = F.regexp_replace(s, _APPENDED, "")
+    """The class of an ending that is not plainly complete; the trimmed forms of the text are computed once."""
+    bare = lambda base: F.regexp_replace(F.regexp_replace(base, r"^[\"“„«']+", ""), _CLOSING, "")
+    of_base = lambda s, base: once(bare(base), lambda b: _class(s, base, b))
+    return once(F.regexp_replace(text, EDGE, ""), lambda s: once(F.regexp_replace(s, _APPENDED, ""), lambda base: of_base(s, base)))
+
+
+def _class(s: Column, base: Column, bare: Column) -> Column:
+    """The class of a text by its trimmed form, that without what was appended at a cut, and that without closing marks."""
     appended = base != s
-    bare = F.regexp_replace(F.regexp_replace(base, r"^[\"“„«']+", ""), _CLOSING, "")
     last_line = F.regexp_extract(bare, r"([^\n\r]*)$", 1)
     content = F.regexp_like(s, F.lit(r"[\p{L}\p{N}]"))
     placeholder = F.regexp_like(s, F.lit(r"(?i)^\W*(n/a|null|none|nil|nan|tbd|empty|no response|no answer|no reply|kein[e]?|sin respuesta|same as before|unknown)\W*$"))
