@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnloom.functions import text as X
-from turnloom.sources.tables import strip
+from turnloom.sources.tables import parallel, strip
 
 # The word lists and limits that results depend on.
 MIN_TURNS, MAX_TURNS, REPEATED = 6, 15, 0.6
@@ -79,13 +79,14 @@ def normal(dialogues: DataFrame) -> DataFrame:
     texts, lower case) and ``goal_words``.
 
     ``turns`` is an array of (role, text) without nulls, ``domain`` trimmed,
-    lower case and ``unknown`` if blank, ``score`` null where it is NaN.
+    lower case and ``unknown`` if blank, ``score`` null where it is NaN. A table
+    of fewer scan partitions than task slots is spread before the costly part.
     """
     turns = F.transform(F.filter(F.coalesce("turns", F.array()), lambda t: t.isNotNull()), lambda t: F.struct(F.coalesce(t["role"], F.lit("")).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
     name = F.lower(strip(F.col("domain")))
     score = F.col("metadata.quality_score")
     base = dialogues.select("rec_id", "version_id", "dialogue_id", F.coalesce("goal", F.lit("")).alias("goal"), F.when(name.isNull() | (name == ""), "unknown").otherwise(name).alias("domain"), F.coalesce("metadata.model_version", F.lit("unknown")).alias("model"), F.when(~F.isnan(score), score).alias("score"), F.coalesce("context", F.lit("")).alias("context"), turns.alias("turns"))
-    return with_sets(base)
+    return with_sets(parallel(base))
 
 
 def with_sets(base: DataFrame) -> DataFrame:

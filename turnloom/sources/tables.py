@@ -55,7 +55,7 @@ def parallel(df: DataFrame) -> DataFrame:
     has enough of them and stays as it is, without a shuffle.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+    if df.rdd.getNumPartitions() >= wanted:
         return df
     return df.repartition(max(wanted, slots(df)))
 
