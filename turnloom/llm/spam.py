@@ -31,7 +31,9 @@ HOST_PRIOR = 20
 
 #: Function words that keywords and link labels use too; fixed values.
 _WORDY = set("me near more all up out now top last best you here not more about free todo más plus sin sur pas de la du no our go home page en".split())
-_FUNCTION = {w for words in FUNCTION_WORDS.values() for w in words.split()} - _WORDY - {"great", "perfect", "good", "hotel", "e", "o", "i"}
+#: Content words among the marks of languages: they tell the language but make no sentence; fixed values.
+_CONTENT = set("reservar reserva reservering rezerwacja rezervasyon boeking prenotazione numero número numer nummer numara casa río rio rzeką fiume ev nehir dom uur uhr wonderful lovely indeed viaje lugar plats plads platz".split())
+_FUNCTION = {w for words in FUNCTION_WORDS.values() for w in words.split()} - _WORDY - _CONTENT - {"great", "perfect", "good", "hotel", "e", "o", "i"}
 _URL = re.compile(r"(?:https?:)?//\S+|www\.\S+|\b[\w-]+(?:\.[\w-]+)*\.(?:example|com|org|net|info|biz)(?:/\S*)?", re.I)
 _ANCHOR = re.compile(r"<a\b[^<>]*>", re.I)
 _MARKUP = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
