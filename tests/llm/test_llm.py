@@ -397,3 +397,32 @@ def test_very_long_texts(spark, dialogues):
     assert truncation.cut_values(d).count() == 4
     assert [r["defect"] for r in pairs.defects(d).orderBy("pos").collect()] == ["copy"]
     assert repetition.shares(d).count() == 1
+
+
+CLASH = ["id", "name", "stamp", "content", "words", "source", "text", "pos", "end", "length", "lang", "share", "n", "p", "v", "host", "own", "score", "child", "cutoff"]
+
+
+def test_clashing_columns_nulls_and_repeated_rows(spark, dialogues):
+    """Extra columns named like inner ones change nothing; rows of nulls are no cases; repeated rows give rows of their own."""
+    rows = [record(1, ["I hold a room for yo", "please come and see our fine new rooms by the river today.", "please come and see our fine new rooms by the river today.", "please come and see our fine new rooms by the river today."], pairs=[("Is it free?", None)]), record(2, None, domain=None, model=None, goal=None)]
+    plain = dialogues(*rows, rows[0])
+    clash = plain
+    for c in CLASH:
+        clash = clash.withColumn(c, F.lit("x"))
+    empty = clash.limit(0)
+    runs = [lambda d: truncation.cut_values(d).select("rec_id", "field", "pos"), pairs.defects, lambda d: repetition.shares(d).select("rec_id", "share"), truncation.rates]
+    for run in runs:
+        assert rows_of(run(clash)) == rows_of(run(plain)) and run(empty).count() == 0
+    assert rows_of(truncation.cut_values(clash).select("rec_id", "pos")) == [(1, 0), (1, 0)]
+    batch = one_turn(spark, [["please", "come"] * 20, ["please", "come"] * 20]).withColumn("id", F.lit("x")).withColumn("words", F.lit(1)).withColumn("stamp", F.lit(None))
+    assert rows_of(incremental.repeats(clash, batch)) == [(1, "n0")] and incremental.repeats(empty, batch.limit(0)).count() == 0
+    docs = spark.createDataFrame([(1, "cheap hotel best hotel deals vip luxury cheap hotel spa " * 4, "s"), (1, "cheap hotel best hotel deals vip luxury cheap hotel spa " * 4, "s"), (2, None, None)], "doc_id bigint, text string, source string")
+    odd = docs.withColumn("host", F.lit(1)).withColumn("own", F.lit(2)).withColumn("score", F.lit(3)).withColumn("ids", F.lit(4)).withColumn("item_id", F.lit(5)).withColumn("passage", F.lit("x"))
+    assert rows_of(spam.found(odd)) == [(1,), (1,)]
+    assert sorted(len(r["ids"]) for r in tokens.encode(odd).collect())[0] == 0
+    items = spark.createDataFrame([(7, " ".join(f"w{k}" for k in range(30)), None), (7, " ".join(f"w{k}" for k in range(30)), None), (8, None, "a"), (None, "short", None)], "item_id bigint, passage string, answer string").withColumn("doc_id", F.lit(1)).withColumn("text", F.lit("y"))
+    found = leakage.leaks(odd.unionByName(odd.limit(1).withColumn("text", F.lit(" ".join(f"w{k}" for k in range(5, 25))))), items)
+    assert [(r["doc_id"], r["item_id"], r["answered"]) for r in found.collect()] == [(1, 7, None)]
+    scores = spark.createDataFrame([("a", 0.5, 1), ("a", 0.5, 1), ("b", None, 1)], "source string, score double, n int").withColumn("above", F.lit(9)).withColumn("cell", F.lit(9))
+    cuts = cutoff.cutoffs(scores, spark.createDataFrame([("a", 50, 1), (None, 3, 1), ("b", None, 1)], "source string, keep_percent int, low int"))
+    assert [tuple(r) for r in cuts.collect()] == [("a", 50, 2, 0.5, 2)] and cutoff.kept(scores, cuts).count() == 2
