@@ -52,3 +52,27 @@ def conflicts(dialogues: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("s", F.lit(1), n), F.slice("s", F.lit(2), n), lambda a, b: F.struct((a["domain"] == b["domain"]).alias("d"), (a["slot"] == b["slot"]).alias("k"), b["pos"].alias("pos"), b["domain"].alias("domain"), b["slot"].alias("slot"), a["value"].alias("old"), b["value"].alias("new")))
     changed = F.filter(pairs, lambda p: p["d"] & p["k"] & (p["old"] != p["new"]))
     return rows.select("rec_id", F.inline(changed)).drop("d", "k")
+
+
+def section(facts: Column, others: Column, goals: Column) -> Column:
+    """A memory as the section of a prompt: one line for each kind that holds something, lists joined by semicolons."""
+    line = lambda name, items: F.when(F.size(items) > 0, F.concat(F.lit(f"{name}: "), F.array_join(items, "; ")))
+    return F.concat_ws("\n", line("User facts", facts), line("Support facts", others), line("Open goals", goals))
+
+
+def stored(facts: Column, others: Column, goals: Column) -> Column:
+    """A memory as JSON text with its lists cut to FACTS, and ``read`` gives it back."""
+    return F.to_json(F.struct(unique_head(facts).alias("user_facts"), unique_head(others).alias("support_facts"), unique_head(goals).alias("unresolved_goals")))
+
+
+def read(text: Column) -> Column:
+    """The lists of a stored memory; absent or broken ones are empty."""
+    m = F.from_json(text, "user_facts array<string>, support_facts array<string>, unresolved_goals array<string>")
+    full = lambda name: F.coalesce(m[name], F.array().cast("array<string>")).alias(name)
+    return F.struct(full("user_facts"), full("support_facts"), full("unresolved_goals"))
+
+
+def new_metadata(n_turns: Column, score: Column, seconds: Column, version: Column, at: Column) -> Column:
+    """The metadata of a fresh record; absent scores and times count 0."""
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return F.struct(F.coalesce(n_turns, F.lit(0)).alias("num_turns"), zero(score).alias("quality_score"), zero(seconds).alias("generation_time_seconds"), F.coalesce(version, F.lit("unknown")).alias("model_version"), at.alias("generated_at"))

@@ -437,6 +437,36 @@ def t4_first_accepted(spark, d):
     return _d(spark, d).where("score >= 0.7").select("rec_id", "score").orderBy("rec_id").limit(100)
 
 
+_HEAD = lambda c: f"list_transform(list_sort(list_transform(list_filter(coalesce({c}, []), lambda x, i: x IS NOT NULL AND NOT regexp_matches(x, '^ *$') AND list_position({c}, x) = i), lambda x: struct_pack(i := list_position({c}, x), x := x)))[1:12], lambda s: s.x)"
+
+
+def _last_memory(spark, d) -> DataFrame:
+    last = F.get("pipeline_turns", F.size("pipeline_turns") - 1)["memory_snapshot"]
+    return table(spark, d, "dialogues").where(F.size("pipeline_turns") > 0).select("rec_id", last["user_facts"].alias("u"), last["support_facts"].alias("s"), last["unresolved_goals"].alias("g"))
+
+
+@_query(f"""{_LAST_MEMORY} SELECT rec_id, concat_ws(chr(10), CASE WHEN len({_HEAD('m.user_facts')}) > 0 THEN 'User facts: ' || array_to_string({_HEAD('m.user_facts')}, '; ') END,
+    CASE WHEN len({_HEAD('m.support_facts')}) > 0 THEN 'Support facts: ' || array_to_string({_HEAD('m.support_facts')}, '; ') END, CASE WHEN len({_HEAD('m.unresolved_goals')}) > 0 THEN 'Open goals: ' || array_to_string({_HEAD('m.unresolved_goals')}, '; ') END) AS section FROM L""", ctes=False)
+def pr27_memory_sections(spark, d):
+    head = lambda c: memory.unique_head(F.coalesce(c, F.array().cast("array<string>")))
+    return _last_memory(spark, d).select("rec_id", memory.section(head(F.col("u")), head(F.col("s")), head(F.col("g"))).alias("section"))
+
+
+@_query(f"{_LAST_MEMORY} SELECT rec_id, {_HEAD('m.user_facts')} AS user_facts, {_HEAD('m.support_facts')} AS support_facts, {_HEAD('m.unresolved_goals')} AS unresolved_goals FROM L", ctes=False)
+def pr29_stored_memories(spark, d):
+    rows = _last_memory(spark, d).select("rec_id", memory.stored(F.col("u"), F.col("s"), F.col("g")).alias("t"))
+    return rows.select("rec_id", memory.read(F.col("t")).alias("m")).select("rec_id", "m.*")
+
+
+@_query("""SELECT rec_id, CAST(len(turns) AS INTEGER) AS num_turns, CASE WHEN s IS NULL OR isnan(s) THEN 0 ELSE s END AS quality_score, coalesce(t, 0) AS generation_time_seconds, coalesce(v, 'unknown') AS model_version, strftime(ingested_at, '%Y-%m-%d') AS generated_at
+    FROM (SELECT rec_id, coalesce(turns, []) AS turns, ingested_at, metadata.quality_score AS s, metadata.generation_time_seconds AS t, metadata.model_version AS v FROM dialogues)""", ctes=False)
+def pr6_metadata_of_records(spark, d):
+    m = F.col("metadata")
+    score = F.when(~F.isnan(m["quality_score"]), m["quality_score"])
+    made = memory.new_metadata(F.size(F.coalesce("turns", F.array())), score, m["generation_time_seconds"], m["model_version"], F.date_format("ingested_at", "yyyy-MM-dd"))
+    return table(spark, d, "dialogues").select("rec_id", made.alias("m")).select("rec_id", "m.*")
+
+
 def queries() -> dict:
     return dict(_QUERIES)
 
