@@ -303,6 +303,36 @@ def test_second_batch_needs_only_the_store(spark, dialogues, tmp_path):
     assert {r["name"] for r in store.names().collect()} == {"h1", "n1", "m12"}
 
 
+def test_words_left_out_and_put_in_at_different_places():
+    # runs of two and three words: five sixths in the same order, but few phrases in common
+    import numpy as np
+    import pandas as pd
+
+    for n in (6, 12, 60, 170, 240, 600, 2000):
+        a = np.arange(n, dtype=np.uint32)
+        b = np.concatenate([[6 * k + 1, 6 * k + 2, 100_000 + k, *range(6 * k + 3, min(n, 6 * k + 6))] for k in range(n // 6)]).astype(np.uint32)
+        c = np.where(np.arange(n) % 4 == 0, a + 50_000, a).astype(np.uint32)
+        rows = pd.DataFrame({"id": [1, 2, 3], "stamp": [0, 0, 0], "words": [x.tobytes() for x in (a, b, c)]})
+        same = [(2, 1)] if incremental.lcs(a.tolist(), b.tolist()) >= incremental.SAME * max(len(a), len(b)) else []
+        assert [tuple(x) for x in incremental.among(rows)[["id", "other"]].itertuples(index=False)] == same
+
+
+def test_a_large_batch_takes_one_pass_over_the_store(spark, dialogues, tmp_path, monkeypatch):
+    # work grew with passes: one for every 4,096 rows, each over everything accepted
+    import random
+
+    random.seed(6)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    new = [random.choices(vocabulary, k=20) for _ in range(9000)]
+    old = [random.choices(vocabulary, k=20) for _ in range(50)]
+    new[77], new[8500], new[8999] = [*old[3][:18], "x", "y"], [*old[4][1:], "z"], [*new[10][:10], "u", *new[10][11:]]
+    passes, search = [], incremental.FingerprintStore.matches
+    monkeypatch.setattr(incremental.FingerprintStore, "matches", lambda self, ids, words: passes.append(len(ids)) or search(self, ids, words))
+    hist = dialogues(*(record(k, [" ".join(x)], name=f"h{k}") for k, x in enumerate(old)))
+    got = rows_of(incremental.repeats(hist, one_turn(spark, new), path=str(tmp_path / "store")))
+    assert got == [(77, "h3"), (8500, "h4"), (8999, "n10")] and passes == [9000]
+
+
 def test_bloom_filter():
     import numpy as np
 

@@ -1,14 +1,16 @@
 """Checking new batches for repeats of everything accepted so far, without reprocessing it.
 
 Accepted conversations live in a store of segments, one row each in a Parquet
-folder: the winnowed fingerprints of some thousand conversations, a Bloom filter
-over them, and the conversations' words as hashes. A batch is taken in blocks in
-the order of its ids. A block goes to every segment once: the filter prescreens
-its fingerprints, positives are looked up and the fingerprints that a row shares
-with each conversation are counted; what shares enough is verified on the words
-where they lie. Accepted rows of the block become a segment of their own before
-the next block comes. History is never read again, and nothing is shuffled by
-fingerprint, so a phrase that a third of all conversations hold fills no task.
+folder: the words of some thousand conversations, sorted by length, and for each
+a sketch of its words: the parities of their counts in some hundred classes. A
+word that only one of two conversations has changes one parity, so two sketches
+never differ in more places than the conversations in words. A batch is taken in
+blocks in the order of its ids. A block goes to every segment once: sketches of a
+like length are compared all with all, some nanoseconds a pair, and what may be
+the same is verified on the words where they lie. Accepted rows of the block
+become segments of their own before the next block comes. Nothing is shuffled or
+listed by word or phrase, so a phrase that a third of all conversations hold
+fills no task.
 """
 
 from __future__ import annotations
@@ -25,19 +27,17 @@ from turnloom.sources.tables import bounded, keep, parallel, shared_folder
 
 #: Share of the longer conversation's words that must follow in the same order (5/6 by definition).
 SAME = 5 / 6
-#: Words of a shingle, and shingles of which a winnowing window keeps one.
-SHINGLE, WINDOW = 3, 2
-#: Conversations up to SHORT_HELD words are indexed by all their word pairs too, and rows up to SHORT are looked up by
-#: them: a partner of SHORT words has at most 6/5 as many. From LONG_HELD words on they have shingles.
-SHORT, SHORT_HELD, LONG_HELD = 30, 36, 25
-#: Conversations of a segment, and rows of a block: what one task and the driver hold at once.
-SEGMENT, BLOCK = 2048, 4096
+#: Sketches by length: rows of up to so many words are compared by so many 64-bit numbers. A bit for each word or more
+#: tells unrelated conversations apart, fewer leave more to verify.
+KINDS = ((56, 1), (112, 2), (170, 3), (230, 4), (450, 8), (900, 16), (1800, 32), (1 << 40, 64))
+#: Conversations of a segment, and rows of a block and their words: what one task and the driver hold at once.
+SEGMENT, BLOCK, BLOCK_WORDS = 4096, 1 << 15, 6_000_000
+#: Rows of a block that are compared with one another at once, and pairs of sketches; they bound memory, not results.
+PIECE, TILE = 2048, 1 << 16
 #: Bits of a Bloom filter for each fingerprint, and hash functions.
 BLOOM_BITS, BLOOM_HASHES = 12, 4
 #: Stamp of conversations without a time of their own: behind all that have one.
 LATER = 1 << 61
-#: Conversations whose counts are made in one step; bounds memory, not results.
-STEP = 64
 
 _WORD = re.compile(r"\w+")
 _MIX = 0x9E3779B97F4A7C15
@@ -48,44 +48,51 @@ def conversation(turns: str = "turns"):
     return F.array_join(F.coalesce(F.transform(F.col(turns), lambda t: F.coalesce(t["text"], F.lit(""))), F.array().cast("array<string>")), " ")
 
 
-def needed(n: int, long: bool) -> int:
-    """Fingerprints that a row of n words must share with a conversation of the same words in order.
+def least(n):
+    """Words in the same order that two conversations must share, the longer of which has n words."""
+    return -(-5 * n // 6)
 
-    SAME of the longer one's N words in at most N/6 + 1 unbroken runs: a run of
-    r words holds (r - 3) / 2 winnowed shingles at least, so N/6 - 3/2 are
-    shared. Of word pairs, with a break for every word that either side has
-    alone, N/2 - 1 are shared. Counted with their repetitions.
-    """
-    return max(1, n // 6 - 1) if long else max(1, n // 2 - 1)
 
+def lacking(n, m):
+    """Words that conversations of n and m words may have alone, both together, and be the same; -1 if their lengths tell them apart."""
+    import numpy as np
 
-def marks(words, long: bool):
-    """The fingerprints of a conversation's word hashes as sorted distinct 32-bit numbers.
+    both = least(np.maximum(n, m))
+    return np.where(np.minimum(n, m) >= both, n + m - 2 * both, -1)
 
-    ``long``: winnowed shingles of SHINGLE words; else all word pairs, or up to
-    four words the whole (a longer partner would lack more than SAME). A fingerprint that occurs k times stands for k of
-    them, so that sharing is counted with repetitions.
-    """
+
+def sketches(words: list, width: int):
+    """The sketches of conversations, ``width`` 64-bit numbers each: bit k is the parity of the words of class k."""
     import numpy as np
 
-    size = SHINGLE if long else 2
-    a = words.astype(np.uint64)
-    if long and len(a) < LONG_HELD or not long and len(a) > SHORT_HELD or not len(a):
-        return np.array([], np.uint32)
-    if not long and len(a) <= 4:
-        g = np.array([np.sum((a + np.uint64(7)) * (np.arange(1, len(a) + 1, dtype=np.uint64) * np.uint64(_MIX)))])
-    else:
-        m = len(a) - size + 1
-        g = np.zeros(m, np.uint64)
-        for k in range(size):
-            g += (a[k : k + m] + np.uint64(1)) * np.uint64(pow(_MIX, k + 1 + 8 * long, 1 << 64))
-        g = _mixed(g)
-        if long and m > WINDOW:
-            view = np.lib.stride_tricks.sliding_window_view(g, WINDOW)
-            g = g[np.unique(view.argmin(axis=1) + np.arange(len(view)))]
-    g = np.sort(g)
-    nth = np.arange(len(g)) - np.searchsorted(g, g)
-    return np.unique((_mixed(g + nth.astype(np.uint64) * np.uint64(_MIX)) >> np.uint64(32)).astype(np.uint32))
+    bits, out = 64 * width, []
+    for s in range(0, len(words), 1024):
+        some = words[s : s + 1024]
+        classes = (_mixed(np.concatenate(some).astype(np.uint64) * np.uint64(_MIX)) % np.uint64(bits)).astype(np.int64)
+        at = np.repeat(np.arange(len(some), dtype=np.int64) * bits, [len(w) for w in some]) + classes
+        odd = (np.bincount(at, minlength=len(some) * bits) & 1).astype(np.uint8)
+        out.append(np.packbits(odd).view(np.uint64).reshape(len(some), width))
+    return np.concatenate(out)
+
+
+def span(sizes, kind: int) -> tuple[int, int]:
+    """The part of sorted ``sizes`` that rows of the kind have to be compared with."""
+    import numpy as np
+
+    low, high = KINDS[kind - 1][0] + 1 if kind else 1, KINDS[kind][0]
+    return int(np.searchsorted(sizes, least(low))), int(np.searchsorted(sizes, 6 * high // 5, side="right"))
+
+
+def all_sketches(words: list, sizes) -> bytes:
+    """The sketches of conversations sorted by length, kind after kind of those that they are compared with."""
+    import numpy as np
+
+    out = []
+    for kind, (_, width) in enumerate(KINDS):
+        lo, hi = span(sizes, kind)
+        if lo < hi:
+            out.append(sketches(words[lo:hi], width).tobytes())
+    return b"".join(out)
 
 
 def _mixed(g):
@@ -172,74 +179,91 @@ def lcs(a, b) -> int:
 
 def alike(a, b) -> float:
     """Share of the longer conversation's words that stand in the other in the same order; 0 below SAME."""
+    import numpy as np
+
     longer = max(len(a), len(b), 1)
     if min(len(a), len(b)) < SAME * longer:
         return 0.0
+    # words of either alone, at least: by counts in classes
+    if np.abs(np.bincount(a & 4095, minlength=4096) - np.bincount(b & 4095, minlength=4096)).sum() > lacking(len(a), len(b)):
+        return 0.0
     ratio = lcs(a.tolist(), b.tolist()) / longer
     return ratio if ratio >= SAME else 0.0
 
 
 class Block:
-    """Some rows of a batch, sorted by length, with an index of their fingerprints."""
+    """Some rows of a batch, sorted by length, with their sketches."""
 
-    def __init__(self, ids, words: list, long: bool):
+    def __init__(self, ids, words: list):
         import numpy as np
 
         size = np.array([len(w) for w in words], np.int64)
-        mine = np.flatnonzero((size > SHORT) == long)
-        mine = mine[np.argsort(size[mine], kind="stable")]
-        self.long, self.ids, self.words, self.size = long, [ids[k] for k in mine], [words[k] for k in mine], size[mine]
-        self.need = np.array([needed(int(n), long) for n in self.size], np.int64)
-        sets = [marks(w, long) for w in self.words]
-        flat = np.concatenate(sets) if sets else np.array([], np.uint32)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-        order = np.lexsort((owner, flat))
-        self.fps, start = np.unique(flat[order], return_index=True)
-        #: postings as one sorted key each: place of the fingerprint, then the row
-        place = np.repeat(np.arange(len(self.fps)), np.diff(np.append(start, len(flat))))
-        self.keys = place * len(sets) + owner[order]
-
-    def shared(self, fps, of, sizes, held=None) -> Iterator[tuple[int, object, object]]:
-        """(conversation, rows, shared fingerprints): rows of the block that share enough with each conversation.
-
-        ``fps`` are fingerprints and ``of`` the conversations they belong to, in order; ``sizes`` their lengths in
-        words. ``held`` tells which fingerprints of the block the prescreen let pass.
+        order = np.argsort(size, kind="stable")
+        self.ids, self.words, self.size = [ids[k] for k in order], [words[k] for k in order], size[order]
+        self.start, self.sketch = [], []
+        for kind, (high, width) in enumerate(KINDS):
+            lo, hi = np.searchsorted(self.size, [KINDS[kind - 1][0] if kind else 0, high], side="right")
+            self.start.append(int(lo))
+            self.sketch.append(sketches(self.words[lo:hi], width) if lo < hi else None)
+
+    def near(self, sizes, raw: bytes) -> Iterator[tuple[object, object, object]]:
+        """(rows, held, differences): pairs of a row and a held conversation that may be the same.
+
+        ``sizes`` are the lengths of the held conversations in order, ``raw`` their sketches by kind. A row's pairs come
+        at once, but for more than TILE held ones.
         """
         import numpy as np
 
-        if not len(self.fps) or not len(fps):
-            return
-        at = np.searchsorted(self.fps, fps)
-        at[at == len(self.fps)] = 0
-        hit = self.fps[at] == fps
-        if held is not None:
-            hit &= held[at]
-        at, of, rows = at[hit], of[hit], len(self.ids)
-        order = np.argsort(sizes, kind="stable")
-        rank = np.empty(len(sizes), np.int64)
-        rank[order] = np.arange(len(sizes))
-        by = np.argsort(rank[of], kind="stable")
-        at, of = at[by], rank[of][by]
-        edges = np.searchsorted(of, np.arange(0, len(sizes) + STEP, STEP))
-        for c, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            if lo == hi:
+        at = 0
+        differ, counts, sums = np.empty(TILE, np.uint64), np.empty(TILE, np.uint8), np.empty(TILE, np.uint16)
+        for kind, (_, width) in enumerate(KINDS):
+            lo, hi = span(sizes, kind)
+            if lo >= hi:
                 continue
-            some = order[c * STEP : (c + 1) * STEP]
-            n = sizes[some]
-            # only rows of a like length: SAME of the longer one
-            first, last = np.searchsorted(self.size, -(-5 * int(n.min()) // 6)), np.searchsorted(self.size, 6 * int(n.max()) // 5, side="right")
-            if first >= last:
+            held = np.ascontiguousarray(np.frombuffer(raw, np.uint64, (hi - lo) * width, at).reshape(hi - lo, width).T)
+            at += (hi - lo) * width * 8
+            mine, first = self.sketch[kind], self.start[kind]
+            if mine is None:
                 continue
-            a, b = np.searchsorted(self.keys, at[lo:hi] * rows + first), np.searchsorted(self.keys, at[lo:hi] * rows + last)
-            k = b - a
-            index = np.repeat(a - np.concatenate([[0], np.cumsum(k)[:-1]]), k) + np.arange(k.sum())
-            width = last - first
-            row = self.keys[index] - np.repeat(at[lo:hi], k) * rows - first
-            count = np.bincount(np.repeat(of[lo:hi] - c * STEP, k) * width + row, minlength=len(some) * width).reshape(len(some), width)
-            fits = (count >= self.need[first:last]) & (6 * self.size[first:last] >= 5 * n[:, None]) & (5 * self.size[first:last] <= 6 * n[:, None])
-            for j in np.flatnonzero(fits.any(axis=1)):
-                r = np.flatnonzero(fits[j])
-                yield int(some[j]), r + first, count[j, r]
+            size, theirs = self.size[first : first + len(mine)], sizes[lo:hi]
+            start, stop = np.searchsorted(theirs, least(size)), np.searchsorted(theirs, 6 * size // 5, side="right")
+            # sums of up to eight numbers' bits may run over, but only those above all bounds: that adds pairs, and loses none
+            total = sums.view(np.uint8) if width <= 8 else sums
+            r = 0
+            while r < len(mine):
+                a, b, s = int(start[r]), int(stop[r]), r + 1
+                if a < b:
+                    # rows of one length, which have the same bounds
+                    s = min(len(mine), r + max(1, TILE // (b - a)))
+                    s = r + int(np.searchsorted(size[r:s], size[r], side="right"))
+                    for c in range(a, b, TILE):
+                        d = min(b, c + TILE)
+                        shape = s - r, d - c
+                        x, y, z = (v[: shape[0] * shape[1]].reshape(shape) for v in (differ, counts, total))
+                        for k in range(width):
+                            np.bitwise_xor(mine[r:s, k : k + 1], held[k, c:d], out=x)
+                            if k:
+                                z += np.bitwise_count(x, out=y)
+                            else:
+                                np.copyto(z, np.bitwise_count(x, out=y))
+                        most = lacking(size[r], theirs[c:d])
+                        may = z <= np.minimum(most, np.iinfo(z.dtype).max).astype(z.dtype)
+                        if may.any():
+                            i, j = np.nonzero(may)
+                            yield first + r + i, lo + c + j, z[i, j].astype(np.int64)
+                r = s
+
+    def verified(self, sizes, raw: bytes, held: list) -> Iterator[tuple[int, int, float]]:
+        """(row, held, ratio): for each row that repeats one of the held conversations the first that does so, tried by rising difference."""
+        import numpy as np
+
+        for rows, others, apart in self.near(sizes, raw):
+            done = -1
+            for k in np.lexsort((others, apart, rows)):
+                r, o = int(rows[k]), int(others[k])
+                if r != done and (ratio := alike(self.words[r], held[o])):
+                    yield r, o, ratio
+                    done = r
 
 
 def _stacked(arrays: list) -> tuple[bytes, list[int]]:
@@ -254,7 +278,7 @@ def _unstacked(raw: bytes, sizes) -> list:
     return np.split(np.frombuffer(raw, np.uint32), np.cumsum(sizes)[:-1]) if len(sizes) else []
 
 
-_SEGMENT = "ids array<bigint>, stamps array<bigint>, sizes array<int>, words binary, long_fps binary, n_long array<int>, long_bloom binary, short_fps binary, n_short array<int>, short_bloom binary"
+_SEGMENT = "ids array<bigint>, stamps array<bigint>, sizes array<int>, words binary, sketches binary"
 
 
 def segments(rows: DataFrame) -> DataFrame:
@@ -266,14 +290,10 @@ def segments(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for s in range(0, len(batch), SEGMENT):
                 b = batch.iloc[s : s + SEGMENT]
+                b = b.iloc[np.argsort(b["words"].str.len(), kind="stable")]
                 words = [np.frombuffer(w, np.uint32) for w in b["words"]]
                 raw, sizes = _stacked(words)
-                row = {"ids": b["id"].tolist(), "stamps": b["stamp"].tolist(), "sizes": sizes, "words": raw}
-                for name, long in (("long", True), ("short", False)):
-                    sets = [marks(w, long) for w in words]
-                    fps, n = _stacked(sets)
-                    row |= {f"{name}_fps": fps, f"n_{name}": n, f"{name}_bloom": bloom_filter(np.unique(np.frombuffer(fps, np.uint32)))}
-                yield pd.DataFrame([row])
+                yield pd.DataFrame([{"ids": b["id"].tolist(), "stamps": b["stamp"].tolist(), "sizes": sizes, "words": raw, "sketches": all_sketches(words, np.array(sizes, np.int64))}])
 
     return rows.select("id", "stamp", "words").mapInPandas(run, _SEGMENT)
 
@@ -300,33 +320,22 @@ class FingerprintStore:
     def matches(self, ids: list[int], words: list) -> DataFrame:
         """``id, other, other_stamp``: for each row that repeats a held conversation that conversation.
 
-        In every segment a row's candidates are tried by falling number of shared
-        fingerprints until one is verified; over all segments the most alike of
+        In every segment a row's candidates are tried by rising difference of the
+        sketches until one is verified; over all segments the most alike of
         these counts, then the earliest. All candidates are tried if none is.
         """
-        blocks = self.spark.sparkContext.broadcast([Block(ids, words, long) for long in (True, False)])
+        blocks = self.spark.sparkContext.broadcast(Block(ids, words))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             import numpy as np
 
+            block = blocks.value
             for b in batches:
                 out = []
                 for seg in b.to_dict("records"):
-                    sizes = np.array(seg["sizes"], np.int64)
-                    held_words = _unstacked(seg["words"], seg["sizes"])
-                    for block in blocks.value:
-                        name = "long" if block.long else "short"
-                        fps = np.frombuffer(seg[f"{name}_fps"], np.uint32)
-                        held = maybe_held(seg[f"{name}_bloom"], block.fps)
-                        tried: dict[int, list[tuple[int, int]]] = {}
-                        for k, rows, counts in block.shared(fps, np.repeat(np.arange(len(sizes)), seg[f"n_{name}"]), sizes, held):
-                            for r, c in zip(rows.tolist(), counts.tolist()):
-                                tried.setdefault(r, []).append((-c, k))
-                        for r, ks in tried.items():
-                            for _, k in sorted(ks):
-                                if ratio := alike(block.words[r], held_words[k]):
-                                    out.append((block.ids[r], seg["ids"][k], seg["stamps"][k], ratio))
-                                    break
+                    held = _unstacked(seg["words"], seg["sizes"])
+                    for r, k, ratio in block.verified(np.array(seg["sizes"], np.int64), seg["sketches"], held):
+                        out.append((block.ids[r], seg["ids"][k], seg["stamps"][k], ratio))
                 yield pd.DataFrame(out, columns=["id", "other", "stamp", "ratio"])
 
         stored = self.spark.read.schema(_SEGMENT).parquet(f"{self.path}/segments")
@@ -346,8 +355,8 @@ class FingerprintStore:
         path = f"{folder}/batch-{uuid.uuid4().hex}"
         batch.repartitionByRange("id").sortWithinPartitions("id").write.parquet(path)
         rows = self.spark.read.schema("id bigint, name string, stamp bigint, content binary, words binary").parquet(path)
-        n = rows.count()
-        parts = -(-n // BLOCK)
+        n, total = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("words")) / 4, F.lit(0))).first()
+        parts = max(-(-n // BLOCK), -(-int(total) // BLOCK_WORDS))
         edges = sorted(set(rows.approxQuantile("id", [k / parts for k in range(1, parts)], 1 / (20 * parts)))) if parts > 1 else []
         out = None
         for lo, hi in zip([None, *edges], [*edges, None]):
@@ -383,32 +392,43 @@ class FingerprintStore:
 def among(rows: pd.DataFrame) -> pd.DataFrame:
     """``id, other, other_stamp``: rows of a block that repeat an accepted smaller row of it, and that row.
 
-    Taken in order of ids: each row is compared with the accepted ones before it
-    that share enough fingerprints, those that share most first.
+    Taken in order of ids, piece by piece: the rows of a piece are compared with
+    the rows accepted before it, then each with the accepted ones before it in
+    the piece, those of the least different sketches first.
     """
     import numpy as np
 
     rows = rows.sort_values("id")
-    ids, stamps, words = rows["id"].tolist(), dict(zip(rows["id"], rows["stamp"])), [np.frombuffer(w, np.uint32) for w in rows["words"]]
-    by_id, size = dict(zip(ids, words)), np.array([len(w) for w in words], np.int64)
-    met: dict[int, list[tuple[int, int]]] = {}
-    for long in (True, False):
-        block = Block(ids, words, long)
-        sets = [marks(w, long) for w in words]
-        if not ids or not sum(map(len, sets)):
-            continue
-        for k, at, counts in block.shared(np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets]), size):
-            for r, c in zip(at.tolist(), counts.tolist()):
-                if ids[k] < block.ids[r]:
-                    met.setdefault(block.ids[r], []).append((-c, ids[k]))
-    out, gone = [], set()
-    for i in ids:
-        for _, other in sorted(met.get(i, ())):
-            if other not in gone and alike(by_id[i], by_id[other]):
-                out.append((i, other, stamps[other]))
-                gone.add(i)
-                break
-    return pd.DataFrame(out, columns=["id", "other", "other_stamp"])
+    stamps = dict(zip(rows["id"], rows["stamp"]))
+    out: list[tuple[int, int]] = []
+    accepted: list[tuple] = []  # (ids, lengths, sketches, words) of the accepted rows of a piece
+
+    for s in range(0, len(rows), PIECE):
+        piece = rows.iloc[s : s + PIECE]
+        block = Block(piece["id"].tolist(), [np.frombuffer(w, np.uint32) for w in piece["words"]])
+        best: dict[int, tuple[float, int]] = {}
+        for ids, sizes, raw, held in accepted:
+            for r, k, ratio in block.verified(sizes, raw, held):
+                best[block.ids[r]] = max(best.get(block.ids[r], (0.0, 0)), (ratio, -ids[k]))
+        out += [(i, -other) for i, (_, other) in best.items()]
+        left = [k for k, i in enumerate(block.ids) if i not in best]
+        block = Block([block.ids[k] for k in left], [block.words[k] for k in left])
+        ids, gone = np.array(block.ids, np.int64), set()
+        met = [(r, k, d) for r, k, d in block.near(block.size, all_sketches(block.words, block.size))]
+        if met:
+            r, k, d = (np.concatenate(x) for x in zip(*met))
+            before = ids[k] < ids[r]
+            r, k, d = r[before], k[before], d[before]
+            for x in np.lexsort((ids[k], d, ids[r])):
+                i, j = int(r[x]), int(k[x])
+                if i not in gone and j not in gone and alike(block.words[i], block.words[j]):
+                    out.append((block.ids[i], block.ids[j]))
+                    gone.add(i)
+        kept = [k for k in range(len(ids)) if k not in gone]
+        if kept:
+            words, sizes = [block.words[k] for k in kept], block.size[kept]
+            accepted.append(([block.ids[k] for k in kept], sizes, all_sketches(words, sizes), words))
+    return pd.DataFrame([(i, j, stamps[j]) for i, j in out], columns=["id", "other", "other_stamp"])
 
 
 def repeats(history: DataFrame, incoming: DataFrame, path: str | None = None) -> DataFrame:
@@ -417,7 +437,7 @@ def repeats(history: DataFrame, incoming: DataFrame, path: str | None = None) ->
     ``history`` is accepted; an incoming row is accepted if it repeats neither
     history nor an accepted row of smaller ``incoming_id``. Conversations are
     compared by their words, however spread over turns. Any accepted original is
-    a right one: the one that shares most fingerprints is tried first. Rows of
+    a right one: the one of the least different sketch is tried first. Rows of
     equal words are one group each: only its first is compared and all others
     follow it. Rows without any word repeat nothing; null turns and texts count
     as empty; a reused ``dialogue_id`` alone is nothing. Empty tables give no
